@@ -14,7 +14,9 @@ SPACE_CODES = (
     0x2028, 0x2029, 0x202F, 0x205F, 0x3000,
 )
 SPACE_CHARS = "".join(map(chr, SPACE_CODES))
-WS = "[" + "".join(rf"\x{{{code:x}}}" for code in SPACE_CODES) + "]"
+WS = (
+    r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+)
 NOT_WS = "[^" + WS[1:]
 WORD = r"[\p{L}\p{N}_]"
 TOKEN = rf"{WORD}+(?:['’-]{WORD}+)*|[^\s\p{{L}}\p{{N}}_]"

@@ -108,7 +108,7 @@ def _wanted_patterns(names: tuple[str, ...]) -> Column:
 @lru_cache(maxsize=64)
 def _judged(names: tuple[str, ...]) -> Column:
     """The verdict of every constraint. Built once per rule set: the expression only names helper columns."""
-    t = Response(F.col("_value"), F.col("_lower"), F.col("_words"), F.col("_sentences"), F.col("_tokens"))
+    t = Response(*map(F.col, ("_value", "_lower", "_words", "_sentences", "_tokens", "_starred")))
     return F.transform(
         F.col("_parsed"),
         lambda c, i: F.struct(
@@ -197,6 +197,7 @@ def run_checks(
             "_words": when_used("words", tx.words(v)),
             "_sentences": when_used("sentences", tx.sentences(v)),
             "_tokens": when_used("tokens", tx.word_tokens(v)),
+            "_starred": when_used("starred", tx.paragraphs_starred(v)),
         }
     )
     with_patterns = tuple(n for n in names if RULES[n].patterns is not None)
