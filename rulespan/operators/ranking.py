@@ -144,3 +144,29 @@ def group_mode(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
     return counts.groupBy(key).agg(
         F.min_by(F.col(value), F.struct(-F.col("_n"), F.col(value))).alias(name)
     )
+
+
+def exact_quantiles(
+    df: DataFrame, keys: Sequence[str], value: str, quantiles: dict[str, float], bucket: Column
+) -> DataFrame:
+    """Linearly interpolated quantiles without holding a group's values in one task.
+
+    ``bucket`` is a non-decreasing function of the value with a bounded number of results. Equal values are counted
+    first; positions are found by running totals over the counted values.
+    """
+    rows = df.filter(F.col(value).isNotNull())
+    counts = rows.groupBy(*keys, bucket.alias("_k"), F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    upto = running_totals(counts, keys, [[(F.col("_k"), True)]], [F.col("_v").asc()], {"_upto": F.col("_n")})
+    totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"))
+    placed = null_safe_join(upto, totals, keys) if keys else upto.withColumn("_total", totals.scalar())
+
+    def at(position: Column) -> Column:
+        return F.min(F.when(F.col("_upto") > position, F.col("_v")))
+
+    columns = []
+    for name, q in quantiles.items():
+        h = (F.col("_total") - 1) * q
+        low, high = at(F.floor(h)), at(F.ceil(h))
+        share = F.max(h - F.floor(h))
+        columns.append((low + (high - low) * share).alias(name))
+    return placed.groupBy(*keys).agg(*columns)
