@@ -227,8 +227,12 @@ def check_rows(checked: DataFrame) -> DataFrame:
 
 
 def per_constraint(checked: DataFrame, key: str = "prompt_id") -> DataFrame:
-    """Child records: one row per constraint, without the text."""
-    return checked.select(key, F.inline("verdicts"))
+    """Child records: one row per constraint, without the text.
+
+    The outer form is used because for the inner one Spark derives the filter ``size(verdicts) > 0`` and pushes it to
+    the scan, which runs every check a second time.
+    """
+    return checked.select(key, F.inline_outer("verdicts")).filter(F.col("constraint_index").isNotNull())
 
 
 def agreement_by_rule(child: DataFrame, left: str, right: str) -> DataFrame:

@@ -58,7 +58,7 @@ def quotas(counts: DataFrame, label: str, total: int, wanted: int) -> DataFrame:
     product = F.col("n").cast("decimal(38,0)") * F.lit(wanted)
     base, rest = F.floor(product / F.lit(total)).cast("bigint"), (product % F.lit(total)).cast("bigint")
     shares = counts.select(label, base.alias("_base"), rest.alias("_rest"))
-    given = shares.agg(F.coalesce(F.sum("_base"), F.lit(0))).first()[0]
+    given = shares.agg(F.coalesce(F.sum("_base"), F.lit(0))).scalar()
     ordered = running_totals(
         shares,
         [],
@@ -85,7 +85,7 @@ def take_stratified(
         stratum = F.lit("")
         per_label = per_label.groupBy(F.lit("").alias("_stratum")).agg(F.sum("n").alias("n"))
     wanted = math.ceil(rows * fraction) if fraction is not None else min(size, rows)
-    share = checkpointed(quotas(per_label, "_stratum", rows, wanted))
+    share = quotas(per_label, "_stratum", rows, wanted)
     ranked = hash_rank(df.withColumn("_stratum", stratum), ["_stratum"], key, seed, "_rank")
     return (
         ranked.join(share, "_stratum")

@@ -23,23 +23,18 @@ PICK = f"(doc_id * 7 + j * 11) % {len(DRAWN)}"
 
 def responses(t: Testbed) -> DataFrame:
     """Documents as responses; each has 1 to 5 constraints whose arguments follow from the document."""
-    packed = ", ".join(
-        (f"to_json(named_struct({', '.join(f'{chr(39)}{n}{chr(39)}, {e}' for n, e in PROBES[r][1].items())}))" if PROBES[r][1] else "'{}'")
-        for r in REGISTERED
-    )
     branches = " ".join(
         f"WHEN {i} THEN " + (
             f"to_json(named_struct({', '.join(f'{chr(39)}{n}{chr(39)}, {e}' for n, e in PROBES[r][1].items())}))" if PROBES[r][1] else "'{}'"
         )
         for i, r in enumerate(REGISTERED)
     )
-    del packed
     names = "array(" + ", ".join(f"'{n}'" for n in DRAWN) + ")"
     constraints = (
         "transform(sequence(0, cast(doc_id % 5 as int)), j -> named_struct('instruction_id', "
         f"element_at({names}, cast({PICK} as int) + 1), 'kwargs_json', CASE cast({PICK} as int) {branches} ELSE '{{}}' END))"
     )
-    return t.table("documents").select(
+    return t.texts("doc_id", "text", "lang").select(
         "doc_id", F.expr("sha2('doc:' || doc_id, 256)").alias("prompt_id"), F.col("text").alias("response_text"),
         (F.col("doc_id") % 5 + 1).alias("num_constraints"), F.expr(constraints).alias("constraints"),
     )
@@ -143,7 +138,7 @@ def _several(t: Testbed, rules) -> DataFrame:
         )
         for r in rules
     )
-    return t.table("documents").select(
+    return t.texts("doc_id", "text", "lang").select(
         F.expr("sha2('doc:' || doc_id, 256)").alias("prompt_id"), F.col("text").alias("response_text"), F.expr(f"array({items})").alias("constraints")
     )
 
@@ -152,7 +147,7 @@ def _several(t: Testbed, rules) -> DataFrame:
        "FROM (SELECT unnest(['" + "', '".join(SHADOWS) + "']) AS r)")
 def shadow_agreement(t: Testbed):
     rows = c.run_checks(_several(t, SHADOWS), rules=SHADOWS)
-    both = rows.select("response_text", F.inline("verdicts")).select(
+    both = rows.select("response_text", F.inline_outer("verdicts")).filter(F.col("constraint_index").isNotNull()).select(
         "instruction_id", "followed",
         F.coalesce(shadow_check(F.col("instruction_id"), F.col("response_text"), F.col("kwargs_json")), F.lit(False)).alias("shadow"),
     )

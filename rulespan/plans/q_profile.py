@@ -385,10 +385,10 @@ per AS (SELECT token, count_if(split = 'train') AS tr, count_if(split = 'test')
 SELECT {cif('tr > 0')} AS train_token_count, {cif('tr = 0 AND te > 0')} AS unseen_token_count, round(coalesce(sum(te) FILTER (tr = 0), 0)::DOUBLE / sum(te), 9) AS unseen_token_mass FROM per""")
 def token_support(t: Testbed):
     d = F.col("doc_id")
-    tokens = t.table("documents").select(
+    tokens = t.texts("doc_id", "text").select(
         F.when(d % 10 < 7, "train").when(d % 10 == 7, "val").otherwise("test").alias("split"),
-        F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))).alias("token"),
-    )
+        F.explode_outer(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))).alias("token"),
+    ).filter(F.col("token").isNotNull())
     return rounded(p.token_support(tokens.groupBy("split", "token").agg(F.count("*").alias("n"))), "unseen_token_mass")
 
 

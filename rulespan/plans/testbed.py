@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rulespan.functions.columns import length_bin
 from rulespan.functions.rules import REGISTERED
+from rulespan.sources.tables import spread
 
 # The runs of the prediction table, (model family, size label, seed, score shift, label gain).
 FAMILIES = ("frozen", "tfidf", "tiny")
@@ -34,6 +35,10 @@ class Testbed:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    def texts(self, *columns: str) -> DataFrame:
+        """Documents for work that is heavy per row."""
+        return spread(self.table("documents").select(*columns) if columns else self.table("documents"))
+
     def promptset(self) -> DataFrame:
         ids = F.transform(
             F.sequence(F.lit(0), (F.col("doc_id") % 5).cast("int")),
