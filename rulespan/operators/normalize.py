@@ -123,8 +123,8 @@ def length_filter_audit(df: DataFrame, tokens: str, truncated: str, limit: int,
 
 def clip(value: Column, limit: int, marker: str) -> Column:
     """Cut long text; ``{omitted}`` in the marker becomes the number of characters left out."""
-    before, _, after = marker.partition("{omitted}")
-    tail = F.concat(F.lit(before), (F.length(value) - limit).cast("string"), F.lit(after)) if after else F.lit(marker)
+    before, slot, after = marker.partition("{omitted}")
+    tail = F.concat(F.lit(before), (F.length(value) - limit).cast("string"), F.lit(after)) if slot else F.lit(marker)
     return F.when(F.length(value) <= limit, value).otherwise(F.concat(F.substring(value, 1, limit), tail))
 
 
