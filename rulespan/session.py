@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -27,23 +28,29 @@ def build_session(master: str | None = None, app: str = "rulespan", **conf: str)
     return builder.getOrCreate()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage through the reliable checkpoint folder of the cluster.
+def _shared_root(spark: SparkSession) -> str:
+    """The folder all executors can reach, as ``spark.checkpoint.dir`` names it.
 
-    ``spark.checkpoint.dir`` names a folder every executor can reach. Only where it is unset (tests on one
-    machine) a temporary folder is used.
+    Unset, it is a temporary folder where driver and executors are one process (``local[...]``, as in tests); on
+    a cluster that would be another folder on each machine, so an unset folder is an error there.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if root is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="spark-")
+        spark.sparkContext.setCheckpointDir(root)
+    return root.rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut lineage through the reliable checkpoint folder of the cluster."""
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-"))
+        sc.setCheckpointDir(_shared_root(df.sparkSession))
     return df.checkpoint()
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder that every executor can reach, for tables a job writes and reads back."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if root is None:
-        root = tempfile.mkdtemp(prefix="spark-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{_shared_root(spark)}/{name}-{uuid.uuid4().hex}"
