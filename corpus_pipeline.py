@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rulespan.llm import bpe, contamination, language
+from rulespan.llm import bpe, contamination, jaccard, language, pii
 from rulespan.llm.common import stored, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -22,17 +22,36 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return language.predict(docs, model, list(COLUMNS)).filter("NOT rejected").select(*COLUMNS)
 
 
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that links of similarity 0.8 or more over five-word shingles hold together.
+
+    The one with the smallest id stays; documents without words are in no group and stay.
+    """
+    return jaccard.deduplicated(docs.select(*COLUMNS), n_gram=5, hundredths=80)
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of whose words less than one in 20 lies in a benchmark passage."""
     return contamination.detect(docs, table(spark, sf_dir, "benchmark"), keep=COLUMNS).filter("NOT contaminated").select(*COLUMNS)
 
 
+def pii_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, its personal data replaced by masks; ``n_chars`` counts the new text."""
+    return pii.redact(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("bigint"))
+
+
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and whether decoding and encoding them again gives the same ids."""
     return bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"), keep=("doc_id", "lang", "source")).withColumn("n_tokens", F.size("ids").cast("bigint"))
 
 
-STAGES = [("language_id", language_id), ("decontamination", decontaminate), ("bpe", tokens)]
+STAGES = [
+    ("language_id", language_id),
+    ("jaccard_join", jaccard_join),
+    ("decontamination", decontaminate),
+    ("pii", pii_redaction),
+    ("bpe", tokens),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -293,7 +293,10 @@ def _close(members: DataFrame, hundredths: int) -> DataFrame:
 
 
 def components(docs: DataFrame, n_gram: int = N_GRAM, hundredths: int = HUNDREDTHS) -> DataFrame:
-    """(doc_id, _k, n_shingles, component_id, n_copies) of every row; ``_k`` is the row's key (id and text)."""
+    """(doc_id, _k, n_shingles, component_id, n_copies, first) of every row.
+
+    ``_k`` is the row's key (id and text); ``first`` marks the row that stands for its component, and empty sets.
+    """
     members = stored(sets(docs, n_gram), "shingle-sets")
     if members.groupBy("sid").agg(F.count_distinct("check").alias("c")).filter("c > 1").limit(1).count():
         raise ValueError("two different sets share a 64-bit hash")
@@ -319,10 +322,22 @@ def components(docs: DataFrame, n_gram: int = N_GRAM, hundredths: int = HUNDREDT
     if more.limit(1).count():
         label = stored(connected(links.unionByName(more), "a", "b"), "labels")
 
-    named = nodes.join(label, F.col("sid") == F.col("node"), "left").select("sid", "id", "n_copies", F.coalesce("component", "sid").alias("c"))
-    smallest = named.groupBy("c").agg(F.min("id").alias("least"))
-    done = named.join(smallest, "c").select("sid", "least", "n_copies")
-    component = F.coalesce(F.nullif("least", F.lit(LAST_ID)), "doc_id")
+    named = nodes.join(label, F.col("sid") == F.col("node"), "left").select("sid", "id", "_k", "n_copies", F.coalesce("component", "sid").alias("c"))
+    smallest = named.groupBy("c").agg(F.min(F.struct("id", "_k")).alias("_least"))
+    done = named.join(smallest, "c").select("sid", F.col("_least.id").alias("_id"), F.col("_least._k").alias("_first"), "n_copies")
     return members.join(done, "sid", "left").select(
-        "doc_id", "_k", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies")
+        "doc_id",
+        "_k",
+        F.col("n").alias("n_shingles"),
+        F.coalesce(F.nullif("_id", F.lit(LAST_ID)), "doc_id").alias("component_id"),
+        F.coalesce("n_copies", F.lit(1)).alias("n_copies"),
+        (F.col("_first").isNull() | (F.col("_first") == F.col("_k"))).alias("first"),
     )
+
+
+def deduplicated(docs: DataFrame, n_gram: int = N_GRAM, hundredths: int = HUNDREDTHS) -> DataFrame:
+    """All columns of one row of each component (of equal rows one), and of every row with an empty set."""
+    others = components(docs, n_gram, hundredths).filter("NOT first").select(F.col("_k").alias("_other")).distinct()
+    keyed = docs.withColumn("_row_key", row_key())
+    left = keyed.join(others, F.col("_row_key") == F.col("_other"), "left_anti")
+    return left.dropDuplicates(["_row_key"]).drop("_row_key")

@@ -203,6 +203,8 @@ def _unclear_rows(alphabet: Alphabet, keys: list[str], payload: Callable):
         for b in batches:
             cols = {c: [] for c in ("key", *keys, "first", "windows")}
             for z, marks, *own in zip(*[b.column(c).to_pylist() for c in ("z", "unclear", *keys)]):
+                if marks is None:
+                    continue
                 text = u.decompress(z)
                 hashes, rows = _halves(text, marks, alphabet)
                 for key, first, n in rows:
@@ -287,7 +289,9 @@ def with_repeats(docs: DataFrame, alphabet: Alphabet, payload: Callable, unpack:
     texts = rows.mapInArrow(squeeze, f"doc_id {kind}, " + "".join(f"{c} bigint, " for c in keys) + "z binary")
     unclear = first.filter(F.size("unclear") > 0).select(r, "unclear")
     long_keys = "key bigint, " + "".join(f"{c} bigint, " for c in keys) + "first bigint, windows binary"
-    windows = texts.join(unclear, r).select("z", "unclear", *keys).mapInArrow(_unclear_rows(alphabet, keys, payload), long_keys)
+    # A left join on all columns of the texts, as the last one is: so Spark reads the same exchange twice.
+    looked_at = texts.join(unclear, r, "left").select("doc_id", F.when(F.col("unclear").isNotNull(), F.col("z")).alias("z"), "unclear", *keys)
+    windows = looked_at.mapInArrow(_unclear_rows(alphabet, keys, payload), long_keys)
     more = windows.repartition("key").sortWithinPartitions("key", "d").mapInArrow(_compared(keys, unpack), f"{r} bigint, at bigint")
     more = more.groupBy(r).agg(F.collect_list("at").alias("more"))
     none = F.array().cast("array<bigint>")
