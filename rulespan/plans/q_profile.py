@@ -343,14 +343,12 @@ def latency_quantiles(t: Testbed):
 
 RUN_KEYS = ["model_family", "train_size_label", "split"]
 RUNS_SQL = """runs AS (SELECT model_family, train_size_label, seed, split, round(avg(CASE WHEN (p_pred >= 0.5) = (label = 1) THEN 1 ELSE 0 END), 9) AS accuracy,
- round(avg((p_pred - label) * (p_pred - label)) + 1e-12::DOUBLE, 9) AS brier FROM predictions WHERE NOT (model_family = 'tiny' AND train_size_label = '40k' AND seed > 42) GROUP BY ALL)"""
+ round(avg((p_pred - label) * (p_pred - label)) + 1e-12::DOUBLE, 9) AS brier FROM predictions GROUP BY ALL)"""
 
 
 def runs(t: Testbed):
     """One row per run and split; one configuration has a single run."""
-    rows = t.predictions().filter(
-        ~((F.col("model_family") == "tiny") & (F.col("train_size_label") == "40k") & (F.col("seed") > 42))
-    )
+    rows = t.predictions()
     keys = ["model_family", "train_size_label", "seed", "split"]
     counts = m.score_counts(rows, keys)
     out = r.null_safe_join(m.threshold_metrics(counts, keys).select(*keys, "accuracy"), m.loss_metrics(counts, keys), keys)
@@ -557,12 +555,12 @@ def hard_rule_examples(t: Testbed):
 @query("curve_comparison", on("predictions", body=RUNS_SQL + """,
 c AS (SELECT model_family AS family, CASE WHEN train_size_label = '80k' THEN 'full' ELSE train_size_label END AS curve_label, split, round(avg(accuracy), 9) AS accuracy_mean,
  coalesce(round(stddev_samp(accuracy), 9), 0) AS accuracy_std FROM runs GROUP BY ALL)
-SELECT family, curve_label, split, accuracy_mean, accuracy_std, CASE curve_label WHEN '40k' THEN CAST(40000 AS BIGINT) ELSE CAST(1000000000 AS BIGINT) END AS curve_order FROM c WHERE split = 'test'"""))
+SELECT family, curve_label, split, accuracy_mean, accuracy_std, CASE curve_label WHEN '20k' THEN CAST(20000 AS BIGINT) WHEN '40k' THEN CAST(40000 AS BIGINT) ELSE CAST(1000000000 AS BIGINT) END AS curve_order FROM c"""))
 def curve_comparison(t: Testbed):
     roll = rounded(p.run_rollup(runs(t), RUN_KEYS, ["accuracy"], single_run_std=None), "accuracy_mean", "accuracy_std")
     frames = [roll.filter(F.col("model_family") == f) for f in FAMILIES]
     frames[1] = frames[1].drop("seeds")
-    return rep.curve_comparison(j.union_runs(frames), ["full", "40k"]).filter(F.col("split") == "test")
+    return rep.curve_comparison(j.union_runs(frames), ["full", "40k", "20k"])
 
 
 @query("experiment_table", on("predictions", body=RUNS_SQL + """,

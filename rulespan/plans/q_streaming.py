@@ -8,7 +8,6 @@ from rulespan.plans.catalog import query
 from rulespan.plans.q_profile import cif
 from rulespan.plans.testbed import Testbed
 from rulespan.session import shared_folder
-from rulespan.sources.tables import spread
 from rulespan.streaming import check_job
 
 RULES = ("punctuation:no_comma", "length_constraints:number_words", "keywords:existence")
@@ -21,11 +20,11 @@ VERDICT = "(NOT contains(text, ',')) AND len(regexp_extract_all(text, '[\\p{L}\\
 def _feed(t: Testbed):
     """Write the documents as four shard folders and stream them back, one file at a time."""
     folder = shared_folder(t.spark, "growing")
-    rows = spread(t.table("documents")).select(
+    rows = t.table("documents").select(
         "doc_id", (F.col("doc_id") % 5).alias("facet"), F.col("text").alias("response_text"), F.expr(CONSTRAINTS).alias("constraints"),
     )
-    for shard in range(4):
-        rows.filter(F.col("doc_id") % 4 == shard).coalesce(1).write.parquet(f"{folder}/shard_{shard}")
+    # One pass: every task adds its rows to the four shard folders.
+    rows.withColumn("shard", F.col("doc_id") % 4).write.partitionBy("shard").parquet(folder)
     return check_job.read_shards(t.spark, folder, rows.schema, files_per_batch=2)
 
 

@@ -92,12 +92,12 @@ def source_priority(t: Testbed):
     )
 
 
-@query("csv_roundtrip", """SELECT doc_id, replace(substr(text, 1, 80), chr(10), ' "x", ') AS preview, n_chars / 7.0::DOUBLE AS share,
+@query("csv_roundtrip", """SELECT doc_id, replace(text, chr(10), ' "x", ') AS marked, n_chars / 7.0::DOUBLE AS share,
  lang = 'en' AS english FROM documents""")
 def csv_roundtrip(t: Testbed):
     path = shared_folder(t.spark, "csv")
     out = t.table("documents").select(
-        "doc_id", F.replace(F.substring("text", 1, 80), F.lit("\n"), F.lit(' "x", ')).alias("preview"),
+        "doc_id", F.replace("text", F.lit("\n"), F.lit(' "x", ')).alias("marked"),
         (F.col("n_chars") / 7.0).alias("share"), (F.col("lang") == "en").alias("english"),
     )
     src.write_csv(out, path)
@@ -419,11 +419,12 @@ def label_norm(t: Testbed):
     )
 
 
-@query("predictions_std", on("predictions", body="""SELECT prompt_id, split, label, p_pred, 'one' AS run_id, CAST(7 AS BIGINT) AS seed,
- CASE WHEN p_pred >= 0.5 THEN 1 ELSE 0 END AS pred_label FROM predictions WHERE run_id = 'tiny-full-42'"""))
+@query("predictions_std", on("predictions", body="""SELECT prompt_id, split, label, p_pred, 'one' AS run_id, CAST(7 AS BIGINT) AS seed, model_family, train_size_label,
+ CASE WHEN p_pred >= 0.5 THEN 1 ELSE 0 END AS pred_label FROM predictions"""))
 def predictions_std(t: Testbed):
-    model = t.predictions().filter(F.col("run_id") == "tiny-full-42").select(
-        F.col("prompt_id").alias("id"), "split", F.col("label").alias("checker_label"), F.col("p_pred").alias("pred_proba")
+    model = t.predictions().select(
+        F.col("prompt_id").alias("id"), "split", F.col("label").alias("checker_label"), F.col("p_pred").alias("pred_proba"),
+        "model_family", "train_size_label",
     )
     out = n.standard_predictions(model, {"id": "prompt_id", "checker_label": "label", "pred_proba": "p_pred"}, {"run_id": "one", "seed": 7})
     return out.withColumn("seed", F.col("seed").cast("bigint"))

@@ -14,16 +14,6 @@ def scan(spark: SparkSession, paths: str | Sequence[str], columns: Sequence[str]
     return df.select(*columns) if columns else df
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores when the input has only a few splits and the work per row is heavy.
-
-    Such an input is small (a split is at most one file block), so the extra shuffle is too. An input with enough
-    splits is returned as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < 2 * cores else df
-
-
 def shard_union(spark: SparkSession, folders: Sequence[str], flags: Sequence[str] = ()) -> DataFrame:
     """Rows of many shard folders in one scan, tagged with their folder; missing flags read as false."""
     df = spark.read.option("mergeSchema", "true").parquet(*folders)
