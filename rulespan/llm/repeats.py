@@ -22,6 +22,8 @@ from rulespan.llm.common import LAST_ID, mixed, row_key, slices, stored
 _BASE = 0x9E3779B97F4A7C15
 #: Tokens hashed at once; longer documents are cut into pieces that share ``width - 1`` tokens.
 PIECE = 1 << 20
+#: Place of the start of a unit's first window in the number that stands for the unit.
+SHIFT = 16
 
 
 @lru_cache(maxsize=2)
@@ -55,6 +57,7 @@ class Units(NamedTuple):
     doc: np.ndarray  # number of the document in the batch
     first: np.ndarray  # start of the unit's first window in the document
     count: np.ndarray  # of windows
+    place: np.ndarray  # of the anchor behind the last window's start
     anchor: np.ndarray  # hash of the anchor's tokens
     content: np.ndarray  # hash of all tokens the unit spans, with the anchor's place
 
@@ -88,7 +91,7 @@ def _units(tokens, starts, lengths, k, width, doc0: int, at0: int) -> Units:
     n = len(tokens) - width + 1
     if n <= 0:
         none = np.zeros(0, np.int64)
-        return Units(none, none, none, none.astype(np.uint64), none.astype(np.uint64))
+        return Units(none, none, none, none, none.astype(np.uint64), none.astype(np.uint64))
     hashes = Hashes(tokens)
     grams = hashes.all(k)
     low = np.uint64(32)
@@ -105,7 +108,7 @@ def _units(tokens, starts, lengths, k, width, doc0: int, at0: int) -> Units:
     spot = ((p - a) << 8 | (b - a)).astype(np.uint64)
     content = mixed(hashes.ranges(a, b + width) ^ mixed(spot + np.uint64(1)))
     d = doc[a]
-    return Units(d + doc0, a - starts[d] + at0, b - a + 1, grams[p], content)
+    return Units(d + doc0, a - starts[d] + at0, b - a + 1, p - b, grams[p], content)
 
 
 class Alphabet(NamedTuple):
@@ -117,7 +120,10 @@ class Alphabet(NamedTuple):
 
 
 def _signed(batch_docs: list[bytes], ids: np.ndarray, alphabet: Alphabet) -> tuple[np.ndarray, ...]:
-    """(h, e, row, at) of the units of a batch. ``at`` holds the first window's start, a mark and the count.
+    """(h, e, row, at) of the units of a batch.
+
+    ``at`` holds the first window's start (from bit SHIFT), how far behind the last window's start the anchor lies (7
+    bits), a mark and how many windows follow the first (8 bits).
 
     A unit whose content an earlier document of the batch has is marked: that settles it, so of a group of copies only
     one row per batch has to meet others. Marked rows get a key of their own, which spreads them.
@@ -131,7 +137,7 @@ def _signed(batch_docs: list[bytes], ids: np.ndarray, alphabet: Alphabet) -> tup
     first = d[order][np.flatnonzero(new)][np.cumsum(new) - 1]
     marked = np.zeros(len(d), bool)
     marked[order] = d[order] > first
-    at = (u.first << 9) | (marked.astype(np.int64) << 8) | (u.count - 1)
+    at = (u.first << SHIFT) | (u.place << 9) | (marked.astype(np.int64) << 8) | (u.count - 1)
     key = np.where(marked, mixed(u.content + d.astype(np.uint64) * np.uint64(_BASE) + u.first.astype(np.uint64)), u.anchor)
     return key.view(np.int64), u.content.view(np.int64), u.doc, at
 
@@ -169,32 +175,24 @@ def _first_round(rows: DataFrame, alphabet: Alphabet, keys: list[str]) -> DataFr
     )
 
 
-def _halves(text: bytes, marks: list[int], alphabet: Alphabet):
-    """The windows of unclear units, as rows keyed by a longer part that all windows of the row share.
+def _halves(hashes: Hashes, marks: np.ndarray, alphabet: Alphabet) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, first, count) of the windows of unclear units, under a longer part that all windows of the row share.
 
     A window reaches either at least half of its rest to the left of the anchor or more than half to the right; the
     key covers the anchor and that half, so chance repeats of an anchor alone no longer meet.
     """
-    tokens, _ = alphabet.tokens([text])
-    hashes = Hashes(tokens)
     k, width = alphabet.k, alphabet.width
     half = (width - k + 1) // 2
-    marks_ = np.array(marks, np.int64)
-    a, n = marks_ >> 9, (marks_ & 255) + 1
-    # The anchor lies inside all windows of the unit: the smallest k-gram (leftmost) from the last window's start on.
-    out = []
-    for s, c in zip(a, n):
-        last = s + c - 1
-        grams = hashes.ranges(np.arange(last, s + width - k + 1), np.arange(last, s + width - k + 1) + k)
-        keys = (grams >> np.uint64(32) << np.uint64(32)) | np.arange(len(grams), dtype=np.uint64)
-        p = last + int(np.argmin(keys))
-        left = min(last, p - half)  # windows up to here reach at least ``half`` to the left
-        if left >= s:
-            out.append((int(mixed(hashes.ranges(np.array([p - half]), np.array([p + k])) ^ np.uint64(1))[0]), int(s), int(left - s + 1)))
-        right = max(s, left + 1)
-        if right <= last:
-            out.append((int(hashes.ranges(np.array([p]), np.array([p + k + width - k - half]))[0]), int(right), int(last - right + 1)))
-    return hashes, out
+    first = marks >> SHIFT
+    last = first + (marks & 255)
+    p = last + (marks >> 9 & 127)
+    split = np.minimum(last, p - half)  # windows up to here reach at least ``half`` to the left
+    left, right = split >= first, split < last
+    a = np.concatenate([p[left] - half, p[right]])
+    key = hashes.ranges(a, np.concatenate([p[left] + k, p[right] + width - half]))
+    key[: left.sum()] = mixed(key[: left.sum()] ^ np.uint64(1))
+    start = np.concatenate([first[left], np.maximum(first, split + 1)[right]])
+    return key, start, np.concatenate([split[left], last[right]]) - start + 1
 
 
 def _unclear_rows(alphabet: Alphabet, keys: list[str], payload: Callable):
@@ -206,13 +204,13 @@ def _unclear_rows(alphabet: Alphabet, keys: list[str], payload: Callable):
                 if marks is None:
                     continue
                 text = u.decompress(z)
-                hashes, rows = _halves(text, marks, alphabet)
-                for key, first, n in rows:
-                    cols["key"].append(key)
-                    for c, v in zip(keys, own):
-                        cols[c].append(v)
-                    cols["first"].append(first)
-                    cols["windows"].append(payload(text, hashes, first, n, alphabet))
+                hashes = Hashes(alphabet.tokens([text])[0])
+                key, first, n = _halves(hashes, np.array(marks, np.int64), alphabet)
+                cols["key"].extend(key.tolist())
+                for c, v in zip(keys, own):
+                    cols[c].extend([v] * len(key))
+                cols["first"].extend(first.tolist())
+                cols["windows"].extend(payload(text, hashes, first, n, alphabet))
                 if len(cols["key"]) > 20_000:
                     yield out(cols)
                     cols = {c: [] for c in cols}
@@ -260,7 +258,7 @@ def _compared(keys: list[str], unpack: Callable):
             at, r = place[gone], row[gone]
             start = np.flatnonzero(np.r_[True, (r[1:] != r[:-1]) | (at[1:] != at[:-1] + 1)]) if len(r) else np.zeros(0, np.int64)
             n = np.diff(np.r_[start, len(r)])
-            yield pa.RecordBatch.from_arrays([pa.array(own[r[start]]), pa.array((at[start] << 9) | (n - 1))], [keys[-1], "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(own[r[start]]), pa.array((at[start] << SHIFT) | (n - 1))], [keys[-1], "at"])
 
     return run
 
@@ -268,7 +266,7 @@ def _compared(keys: list[str], unpack: Callable):
 def with_repeats(docs: DataFrame, alphabet: Alphabet, payload: Callable, unpack: Callable) -> DataFrame:
     """(doc_id, z, repeats): every row's compressed text and the runs of its windows that a smaller document has.
 
-    A run is one number: the start of its first window (from bit 9) and how many more follow (bits 0 to 7). Texts
+    A run is one number: the start of its first window (from bit SHIFT) and how many more follow (bits 0 to 7). Texts
     move once, compressed, to where the runs of their document are gathered; both joins read that one exchange.
     """
     d = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST_ID))
@@ -306,6 +304,6 @@ def covered(n: int, runs: list[int], width: int) -> np.ndarray:
     depth = np.zeros(n + 1, np.int64)
     if runs:
         x = np.array(runs, np.int64)
-        np.add.at(depth, x >> 9, 1)
-        np.add.at(depth, (x >> 9) + (x & 255) + width, -1)
+        np.add.at(depth, x >> SHIFT, 1)
+        np.add.at(depth, (x >> SHIFT) + (x & 255) + width, -1)
     return np.cumsum(depth[:-1]) > 0

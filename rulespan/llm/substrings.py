@@ -45,10 +45,10 @@ def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter((known[w] for ws in words for w in ws), np.uint64, int(n.sum())), n
 
 
-def _pack(text, hashes, first: int, n: int, alphabet: Alphabet) -> bytes:
+def _pack(text, hashes, first: np.ndarray, n: np.ndarray, alphabet: Alphabet) -> list[bytes]:
     """The windows as their hashes."""
-    a = np.arange(first, first + n)
-    return hashes.ranges(a, a + alphabet.width).tobytes()
+    windows = hashes.all(alphabet.width)
+    return [windows[a : a + c].tobytes() for a, c in zip(first.tolist(), n.tolist())]
 
 
 def _unpack(windows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

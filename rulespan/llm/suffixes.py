@@ -30,9 +30,9 @@ def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return _BYTES[np.frombuffer(b"".join(texts), np.uint8)], np.array([len(t) for t in texts], np.int64)
 
 
-def _pack(text: bytes, hashes, first: int, n: int, alphabet: Alphabet) -> bytes:
+def _pack(text: bytes, hashes, first: np.ndarray, n: np.ndarray, alphabet: Alphabet) -> list[bytes]:
     """The windows as the bytes they span."""
-    return text[first : first + n + alphabet.width - 1]
+    return [text[a:b] for a, b in zip(first.tolist(), (first + n + alphabet.width - 1).tolist())]
 
 
 def _unpack(width: int):
