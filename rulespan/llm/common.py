@@ -19,11 +19,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Lets Spark delete a query's shuffle files as soon as the query ends.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """The frame written once to the folder all executors share, and read again: cuts lineage, survives lost executors."""
-    path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """The frame written once to the folder all executors share, and read again: cuts lineage, survives lost executors.
+
+    Once the table is complete nothing reads the shuffle files behind it, so they go with the query that wrote it.
+    """
+    spark = df.sparkSession
+    path, before = shared_folder(spark, name), spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
