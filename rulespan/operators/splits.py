@@ -38,7 +38,7 @@ def base_frame(df: DataFrame, split_name: str, split_type: str, seed: int) -> Da
 
 
 def stratify_labels(df: DataFrame, min_count: int = 20, name: str = "strat_label") -> DataFrame:
-    """Label ``num::family signature``; rare labels collapse per number, and to the number alone if any stays single."""
+    """Label ``num::family signature``; labels with fewer than ``min_count`` rows share the rare label of their number."""
     num = F.col("num_constraints").cast("string")
     raw = F.concat(num, F.lit("::"), F.coalesce("constraint_family_signature", F.lit(MISSING)))
     tagged = df.withColumn("_raw", raw)
@@ -48,9 +48,7 @@ def stratify_labels(df: DataFrame, min_count: int = 20, name: str = "strat_label
         "_label",
         F.when(F.col("_n") < min_count, F.concat("_num", F.lit("::" + RARE))).otherwise(F.col("_raw")),
     )
-    smallest = collapsed.groupBy("_label").agg(F.sum("_n").alias("_n")).agg(F.min("_n")).first()[0]
-    final = "_num" if smallest is not None and smallest < 2 else "_label"
-    return tagged.join(collapsed.select("_raw", F.col(final).alias(name)), "_raw").drop("_raw")
+    return tagged.join(collapsed.select("_raw", F.col("_label").alias(name)), "_raw").drop("_raw")
 
 
 def quotas(counts: DataFrame, label: str, total: int, wanted: int) -> DataFrame:
@@ -76,17 +74,18 @@ def take_stratified(
 ) -> DataFrame:
     """Mark ``ceil(rows * fraction)`` (or ``size``) rows, spread over the strata.
 
-    One stratum, or any stratum with a single row, turns stratification off, as the classic split does.
+    Strata with a single row are pooled into one; all others keep their share.
     """
     per_label = checkpointed(df.groupBy(F.col(label).alias("_stratum")).agg(F.count("*").alias("n")))
-    labels, smallest, rows = per_label.agg(F.count("*"), F.min("n"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    stratum = F.col(label)
-    if labels <= 1 or smallest < 2:
-        stratum = F.lit("")
-        per_label = per_label.groupBy(F.lit("").alias("_stratum")).agg(F.sum("n").alias("n"))
+    rows = per_label.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    pooled = F.when(F.col("n") < 2, F.lit("")).otherwise(F.col("_stratum"))
+    single = per_label.filter("n < 2").select(F.col("_stratum").alias("_single"))
+    per_label = per_label.groupBy(pooled.alias("_stratum")).agg(F.sum("n").alias("n"))
     wanted = math.ceil(rows * fraction) if fraction is not None else min(size, rows)
     share = quotas(per_label, "_stratum", rows, wanted)
-    ranked = hash_rank(df.withColumn("_stratum", stratum), ["_stratum"], key, seed, "_rank")
+    tagged = df.join(single, F.col(label) == F.col("_single"), "left")
+    tagged = tagged.withColumn("_stratum", F.when(F.col("_single").isNotNull(), F.lit("")).otherwise(F.col(label))).drop("_single")
+    ranked = hash_rank(tagged, ["_stratum"], key, seed, "_rank")
     return (
         ranked.join(share, "_stratum")
         .withColumn(name, F.col("_rank") <= F.col("quota"))
@@ -100,7 +99,7 @@ def _finish(df: DataFrame) -> DataFrame:
 
 def _three_way(df: DataFrame, train: float, val: float, test: float, seed: int) -> DataFrame:
     if not math.isclose(train + val + test, 1.0, rel_tol=1e-5, abs_tol=1e-8):
-        raise ValueError("train, val and test ratios must sum to 1")
+        raise ValueError(f"the shares {train}, {val} and {test} do not make a whole")
     first = take_stratified(stratify_labels(df, 20), "strat_label", seed, val + test).drop("strat_label")
     # Both halves of the second step read this narrow frame: written once instead of ranked three times.
     first = checkpointed(first)

@@ -52,6 +52,8 @@ def truncation_audit(t: Testbed):
     return rounded(f.truncation_audit(t.checks(), "prompt_tokens", 2048), "truncation_rate")
 
 
+# The most terms a model keeps.
+TERMS = 500_000
 WORDS_SQL = q.words("lower(text)")
 
 
@@ -68,7 +70,7 @@ def token_ngrams(t: Testbed):
 
 TFIDF_SQL = f"""WITH counts AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({WORDS_SQL}) AS term FROM documents) GROUP BY ALL),
 n AS (SELECT count(*) AS n FROM documents),
-terms AS (SELECT term, count(*) AS df, sum(tf) AS cf FROM counts GROUP BY term HAVING count(*) >= 2 AND count(*) <= 0.5 * (SELECT n FROM n) ORDER BY cf DESC, term LIMIT 3000),
+terms AS (SELECT term, count(*) AS df, sum(tf) AS cf FROM counts GROUP BY term HAVING count(*) >= 2 AND count(*) <= 0.5 * (SELECT n FROM n) ORDER BY cf DESC, term LIMIT {TERMS}),
 w AS (SELECT doc_id, term, tf, (1 + ln(tf)) * (ln((1 + (SELECT n FROM n))::DOUBLE / (1 + df)) + 1) AS w FROM counts JOIN terms USING (term))
 SELECT doc_id, term, tf, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 9) AS weight FROM w"""
 
@@ -78,8 +80,8 @@ def tfidf(t: Testbed):
     rows = t.texts("doc_id", "text")
     counts = f.term_counts(rows, "doc_id", tx.words(F.lower("text")))
     n = t.table("documents").count()
-    terms = f.select_terms(counts, n, 2, 0.5, 3000)
-    return rounded(f.tfidf(counts, terms, "doc_id", n), "weight")
+    terms = f.select_terms(counts, n, 2, 0.5, TERMS)
+    return rounded(f.tfidf(counts, terms, "doc_id", n, bounded=False), "weight")
 
 
 @query("char_ngrams", f"""WITH words AS (SELECT doc_id, ' ' || w || ' ' AS w, count(*) AS c FROM (SELECT doc_id, unnest({WORDS_SQL}) AS w FROM documents) GROUP BY ALL),
@@ -97,7 +99,7 @@ def labelled(t: Testbed):
 
 def text_model(t: Testbed):
     counts = f.term_counts(t.texts("doc_id", "text"), "doc_id", tx.words(F.lower("text")))
-    return ml.text_model(labelled(t), counts, "doc_id", 2, 0.9, 2000)
+    return ml.text_model(labelled(t), counts, "doc_id", 2, 0.9, TERMS)
 
 
 @query("logreg_fit")
@@ -131,7 +133,7 @@ def ngram_logreg(t: Testbed):
     both = f.char_term_counts(rows, "doc_id", "text").unionByName(
         f.term_counts(rows, "doc_id", f.ngrams(tx.words(F.lower("text")), 1, 2)).withColumn("term", F.concat(F.lit("w:"), "term"))
     )
-    _, _, scored = ml.text_model(labelled(t), both, "doc_id", 2, 0.9, 2000)
+    _, _, scored = ml.text_model(labelled(t), both, "doc_id", 2, 0.9, TERMS)
     keys = ["split"]
     return rounded(area_metrics(curve(score_counts(scored, keys), keys), keys), "auroc", "auprc", places=4)
 
@@ -140,7 +142,7 @@ def ngram_logreg(t: Testbed):
 def learning_curve(t: Testbed):
     counts = f.term_counts(t.texts("doc_id", "text"), "doc_id", tx.words(F.lower("text")))
     rows = labelled(t).withColumn("doc_id", F.col("doc_id").cast("string"))
-    out = ml.learning_curve(rows, counts.withColumn("doc_id", F.col("doc_id").cast("string")), "doc_id", [200, None], 42, 2, 500)
+    out = ml.learning_curve(rows, counts.withColumn("doc_id", F.col("doc_id").cast("string")), "doc_id", [200, None], 42, 2, TERMS)
     return rounded(out, "auroc", "auprc", "positive_rate", "auprc_lift", places=4)
 
 
@@ -152,7 +154,7 @@ def kmeans(t: Testbed):
 @query("silhouette")
 def silhouette(t: Testbed):
     clustered = ml.kmeans(t.table("embeddings"), "embedding", 24, 42)
-    value = ml.cosine_silhouette(clustered, 5000, 42, "vec_id")
+    value = ml.cosine_silhouette(clustered)
     return t.table("embeddings").agg(F.count("*").alias("row_count")).withColumn("silhouette_cosine", F.round(F.lit(value), 4))
 
 

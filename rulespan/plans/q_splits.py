@@ -23,15 +23,12 @@ def on(*names: str, body: str) -> str:
 def label_sql(src: str, out: str, min_count: int) -> str:
     return f"""{out}_c AS (SELECT *, num_constraints || '::' || coalesce(constraint_family_signature, '__missing__') AS raw_label FROM {src}),
 {out}_r AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY raw_label) < {min_count} THEN num_constraints || '::{sp.RARE}' ELSE raw_label END AS lab FROM {out}_c),
-{out}_m AS (SELECT *, count(*) OVER (PARTITION BY lab) AS ln FROM {out}_r),
-{out} AS (SELECT * EXCLUDE (raw_label, lab, ln), CASE WHEN (SELECT min(ln) FROM {out}_m) < 2 THEN num_constraints || '' ELSE lab END AS strat_label FROM {out}_m)"""
+{out} AS (SELECT * EXCLUDE (raw_label, lab), lab AS strat_label FROM {out}_r)"""
 
 
 def take_sql(src: str, out: str, seed: int, fraction: float | None = None, size: int | None = None, key: str = "prompt_id") -> str:
     k = f"CAST(ceil(count(*) * {fraction!r}::DOUBLE) AS BIGINT)" if fraction is not None else f"least({size}, count(*))"
-    return f"""{out}_n AS (SELECT strat_label, count(*) AS n FROM {src} GROUP BY 1),
-{out}_k AS (SELECT count(*) <= 1 OR min(n) < 2 AS flat FROM {out}_n),
-{out}_s AS (SELECT *, CASE WHEN (SELECT flat FROM {out}_k) THEN '' ELSE strat_label END AS st FROM {src}),
+    return f"""{out}_s AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY strat_label) < 2 THEN '' ELSE strat_label END AS st FROM {src}),
 {out}_t AS (SELECT count(*) AS total, {k} AS k FROM {src}),
 {out}_q AS (SELECT st, count(*) AS n, (SELECT total FROM {out}_t) AS total, (SELECT k FROM {out}_t) AS k FROM {out}_s GROUP BY st),
 {out}_b AS (SELECT st, k, n * k // total AS base, (n * k) % total AS rest FROM {out}_q),
