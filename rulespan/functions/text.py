@@ -21,7 +21,7 @@ WS = (
 )
 NOT_WS = "[^" + WS[1:]
 WORD = r"[\p{L}\p{N}_]"
-TOKEN = rf"{WORD}+(?:['’-]{WORD}+)*|[^\s\p{{L}}\p{{N}}_]"
+TOKEN = rf"{WORD}+(?:['’-]{WORD}+)*|[^{WS[1:-1]}\p{{L}}\p{{N}}_]"
 REGEX_META = r"[\\.^$|?*+()\[\]{}]"
 
 # Marker for a run of dots while sentences are split; a private-use character no text carries.
@@ -79,10 +79,11 @@ ABBREVIATION_STEPS_BEFORE_DOTS = (
     (r"([0-9])[.]([0-9])", r"$1<prd>$2"),
 )
 SENTENCE_STARTERS = (
-    r"(Mr|Mrs|Ms|Dr|Prof|Capt|Cpt|Lt|He\s|She\s|It\s|They\s|Their\s|Our\s|We\s|But\s|However\s|That\s|This\s|Wherever)"
+    rf"(Mr|Mrs|Ms|Dr|Prof|Capt|Cpt|Lt|He{WS}|She{WS}|It{WS}|They{WS}|Their{WS}|Our{WS}|We{WS}|But{WS}|However{WS}"
+    rf"|That{WS}|This{WS}|Wherever)"
 )
 ABBREVIATION_STEPS_AFTER_DOTS = (
-    (r"\s([A-Za-z])[.] ", r" $1<prd> "),
+    (rf"{WS}([A-Za-z])[.] ", r" $1<prd> "),
     (r"([A-Z][.][A-Z][.](?:[A-Z][.])?) " + SENTENCE_STARTERS, r"$1<stop> $2"),
     (r"([A-Za-z])[.]([A-Za-z])[.]([A-Za-z])[.]", r"$1<prd>$2<prd>$3<prd>"),
     (r"([A-Za-z])[.]([A-Za-z])[.]", r"$1<prd>$2<prd>"),
@@ -144,33 +145,80 @@ def all_lower(v: Column) -> Column:
     return (F.lower(v) == v) & (F.upper(v) != v)
 
 
-# Frequent function words per language code, used to vote on the language of a text.
+# Frequent function words and telling letters per language code; languages are grouped by script.
 FUNCTION_WORDS = {
+    "ar": "في من على إلى أن هذا التي مع عن كان",
+    "bg": "на и да се за от не е са по като ще това",
     "de": "der die das und ist nicht ein eine mit von zu den auf für im dem sich des auch werden",
-    "en": "the of and to in is that it for was with as on are this be by an not from",
+    "en": "the of and to in that is it for was with as on are this be by an not from",
     "es": "el los las una que y en por con para del se lo como más pero su al este son",
+    "fa": "و در به از که این را با است برای",
+    "fi": "ja on ei että se hän oli mutta kun niin ovat myös tai",
     "fr": "le les des et est une dans que pour qui sur pas au plus par avec ce il elle sont",
+    "hi": "के है में की और का से को पर यह हैं नहीं",
     "it": "il gli di che è un una per con non sono del della nel alla dei più anche come questo",
+    "mr": "आहे आणि या च्या ते हे मध्ये होते आहेत व",
+    "ne": "र छ मा को हो छन् यो भने पनि थियो",
+    "pl": "w nie na się z do to że jest jak ale od po przez",
     "pt": "o os as um uma que não em por com para do da no na mais como mas ao são",
+    "ru": "и в не на что он с как это по но она из",
+    "sw": "na ya wa kwa ni katika la za kuwa hii cha hiyo",
+    "uk": "і в не на що та з до як це але він",
+    "ur": "کے میں کی ہے اور سے کا کو پر یہ",
+    "vi": "và của là có không được các cho một trong với người",
+}
+TELLING_LETTERS = {
+    "bg": "[ъщ]", "de": "[ßäöü]", "es": "[ñ¿¡íóú]", "fa": "[پچژگ]", "fi": "[äö]", "fr": "[éèêçàùâîôœ]", "mr": "[ळ]",
+    "pl": "[ąćęłńśźż]", "pt": "[ãõ]", "ru": "[ыэё]", "uk": "[іїєґ]", "ur": "[ٹڈڑںےہھ]", "vi": "[đăơưạảấầậắẹếềểệịọốồộớờợụứừữự]",
+}
+#: Points of a function word and of a telling letter.
+WORD_POINTS, LETTER_POINTS = 3, 1
+# Languages that a script alone names, and those that share one; the first is taken without any vote.
+OWN_SCRIPT = {
+    "Bengali": "bn", "Gujarati": "gu", "Gurmukhi": "pa", "Han": "zh", "Hangul": "ko", "Hebrew": "he", "Hiragana": "ja",
+    "Kannada": "kn", "Katakana": "ja", "Malayalam": "ml", "Tamil": "ta", "Telugu": "te", "Thai": "th",
+}
+SHARED_SCRIPT = {
+    "Arabic": ("ar", "fa", "ur"), "Cyrillic": ("ru", "bg", "uk"), "Devanagari": ("hi", "mr", "ne"),
+    "Latin": ("en", "de", "es", "fi", "fr", "it", "pl", "pt", "sw", "vi"),
 }
 
 
-def function_word_votes(v: Column) -> list[tuple[str, Column]]:
+def _vote(v: Column, codes: tuple[str, ...]) -> Column:
+    """The code with most points; ties go to the code listed first."""
     low = F.lower(v)
-    return [
-        (code, F.regexp_count(low, F.lit(rf"(?<!\p{{L}})(?:{listed.replace(' ', '|')})(?!\p{{L}})")))
-        for code, listed in sorted(FUNCTION_WORDS.items())
-    ]
+
+    def points(code: str) -> Column:
+        words = F.regexp_count(low, F.lit(rf"(?<![\p{{L}}\p{{M}}])(?:{FUNCTION_WORDS[code].replace(' ', '|')})(?![\p{{L}}\p{{M}}])"))
+        telling = TELLING_LETTERS.get(code)
+        return WORD_POINTS * words + (LETTER_POINTS * F.regexp_count(low, F.lit(telling)) if telling else 0)
+
+    ballots = F.array(*[F.struct(points(c).alias("n"), F.lit(c).alias("code")) for c in codes])
+    first = F.struct(F.lit(-1).alias("n"), F.lit(None).cast("string").alias("code"))
+    return F.aggregate(ballots, first, lambda best, b: F.when(b["n"] > best["n"], b).otherwise(best))["code"]
 
 
 def detected_language(v: Column) -> Column:
-    """Language code by function-word vote, null when no function word occurs; ties go to the first code.
+    """Language code by script, then by function words and telling letters inside it; null without any letter.
 
-    Deviation: a trained n-gram detector is not available; the vote covers the languages listed above.
+    Deviation: a trained n-gram detector is not available. Kana decides for Japanese, however much Han is around it.
     """
-    ballots = F.array(*[F.struct(n.alias("n"), F.lit(code).alias("code")) for code, n in function_word_votes(v)])
-    first = F.struct(F.lit(0).alias("n"), F.lit(None).cast("string").alias("code"))
-    return F.aggregate(ballots, first, lambda best, b: F.when(b["n"] > best["n"], b).otherwise(best))["code"]
+    scripts = [*SHARED_SCRIPT, *OWN_SCRIPT]
+    tally = F.array(*[F.struct(F.regexp_count(v, F.lit(rf"\p{{Is{s}}}")).alias("n"), F.lit(s).alias("s")) for s in scripts])
+    none = F.struct(F.lit(0).alias("n"), F.lit(None).cast("string").alias("s"))
+    most = F.aggregate(tally, none, lambda best, x: F.when(x["n"] > best["n"], x).otherwise(best))["s"]
+    script = F.when(most == "Han", F.when(v.rlike(r"[\p{IsHiragana}\p{IsKatakana}]"), "Hiragana").otherwise("Han")).otherwise(most)
+    # Nearly all texts are Latin: the other scripts are counted only where such a letter occurs.
+    only_latin = ~v.rlike(r"[\p{L}&&[^\p{IsLatin}]]")
+    out = F.when(only_latin, F.when(v.rlike(r"\p{L}"), _vote(v, SHARED_SCRIPT["Latin"])))
+
+    def named(s: Column) -> Column:
+        code = F.create_map(*[F.lit(x) for pair in OWN_SCRIPT.items() for x in pair])[s]
+        for shared, codes in SHARED_SCRIPT.items():
+            code = F.when(s == shared, _vote(v, codes)).otherwise(code)
+        return code
+
+    return F.when(only_latin, out).otherwise(bound_once(script, named))
 
 
 def valid_json(v: Column) -> Column:
@@ -182,7 +230,9 @@ def valid_json(v: Column) -> Column:
     options = {"allowSingleQuotes": "false"}
     in_list = F.from_json(F.concat(F.lit("["), v, F.lit("]")), "array<string>", options)
     in_object = F.from_json(F.concat(F.lit('{"v":'), v, F.lit("}")), "struct<v:string>", options)
-    return F.coalesce(
+    # The parser also reads INF forms, which no JSON reader accepts.
+    infinite = v.rlike(r"^[^\"]*[+-]?INF\b") | v.rlike(r'[\[,:][^\S"]*[+-]?INF\b[^\S"]*[\],}]')
+    return ~F.coalesce(infinite, F.lit(False)) & F.coalesce(
         (v == "null")
         | ((F.size(in_list) == 1) & F.get(in_list, F.lit(0)).isNotNull() & in_object["v"].isNotNull()),
         F.lit(False),

@@ -118,3 +118,11 @@ def test_size_ladder_labels(spark):
     df = spark.createDataFrame([(f"{i:03x}",) for i in range(30)], "prompt_id string")
     got = {r.size_label: r["count"] for r in s.size_ladder(df, [10, 2000, None], 1).groupBy("size_label").count().collect()}
     assert got == {"10": 10, "2k/full": 30, "full": 30}
+
+
+def test_one_single_row_stratum_leaves_the_others_stratified(spark):
+    rows = [(f"p{i:03d}", "a" if i < 60 else "b") for i in range(100)] + [("odd", "c")]
+    df = spark.createDataFrame(rows, "prompt_id string, strat_label string")
+    taken = sp.take_stratified(df, "strat_label", 7, 0.25).filter("taken").groupBy("strat_label").count().collect()
+    counts = {r["strat_label"]: r["count"] for r in taken}
+    assert abs(counts["a"] - 15) <= 1 and abs(counts["b"] - 10) <= 1 and sum(counts.values()) == 26

@@ -15,19 +15,19 @@ RAW = "key string, messages array<struct<role:string,content:string>>, ground_tr
 
 
 def test_normalize_rows(spark):
-    spec = "[{'instruction_id': ['keywords:forbidden_words', 'a:b'], 'kwargs': [None, {'forbidden_words': ['x']}]}]"
+    spec = "[{'instruction_id': ['keywords:palindrome', 'a:b'], 'kwargs': [None, {'n_words': 4}]}]"
     rows = [
-        ("k", [("user", "Answer in JSON.")], spec, "d", "multi", "c"),
+        ("k", [("user", "Name a palindrome.")], spec, "d", "multi", "c"),
         ("k", [("system", "s"), ("user", "a"), ("user", "b")], "[{'instruction_id': 'x:y'}, {'instruction_id': None}]", "d", "multi", None),
         ("k", [], "{'a': 1}", "d", "multi", ""),
         ("k", None, None, "d", "multi", ""),
     ]
     out = n.normalize(spark.createDataFrame(rows, RAW)).collect()
-    assert [r.user_prompt for r in out] == ["Answer in JSON.", "system: s\nuser: a\nuser: b", "", ""]
+    assert [r.user_prompt for r in out] == ["Name a palindrome.", "system: s\nuser: a\nuser: b", "", ""]
     assert [r.parse_ok for r in out] == [True, True, False, False]
-    assert out[0].instruction_ids == ["keywords:forbidden_words", "a:b"]
-    assert out[0].constraint_signature == "a:b|keywords:forbidden_words" and out[0].constraint_family_signature == "a|keywords"
-    assert '"kwargs":[null,{"forbidden_words":["x"]}]' in out[0].ground_truth_spec
+    assert out[0].instruction_ids == ["keywords:palindrome", "a:b"]
+    assert out[0].constraint_signature == "a:b|keywords:palindrome" and out[0].constraint_family_signature == "a|keywords"
+    assert '"kwargs":[null,{"n_words":4}]' in out[0].ground_truth_spec
     assert out[1].instruction_ids == ["x:y"] and "got dict" in out[2].parse_error
     assert all(len(r.prompt_id) == 64 for r in out) and out[2].prompt_id != out[3].prompt_id
 
@@ -39,9 +39,9 @@ def test_text_helpers(spark):
 
 
 def test_quote_and_digit_mask(spark):
-    v = 'Say "abc 123" now'
+    v = 'Then "rain 7x" fell'
     mask = spark.createDataFrame([(v,), ("plain",)], "v string").select(f.quote_digit_mask(F.col("v")).alias("m")).collect()
-    assert [v[i] for i, hit in enumerate(mask[0].m) if hit] == list("abc 123") and not any(mask[1].m)
+    assert [v[i] for i, hit in enumerate(mask[0].m) if hit] == list("rain 7x") and not any(mask[1].m)
 
 
 def test_mask_takes_at_least_one_position(spark):
@@ -113,3 +113,21 @@ def test_keep_one(spark):
     df = spark.createDataFrame([(1, 3, "c"), (1, 1, "a"), (2, 5, "e")], "k int, o int, v string")
     assert {r.k: r.v for r in j.keep_one(df, ["k"], F.col("o")).collect()} == {1: "a", 2: "e"}
     assert {r.k: r.v for r in j.keep_one(df, ["k"], F.col("o"), last=True).collect()} == {1: "c", 2: "e"}
+
+
+def test_nested_quotes_and_token_categories(spark):
+    v = 'a “b ‘c” d’ 5'
+    df = spark.createDataFrame([(v,)], "v string").select(f.quote_digit_mask(F.col("v")).alias("m"))
+    assert [v[i] for i, hit in enumerate(df.first().m) if hit] == list("b ‘c5")
+    offsets = F.expr("array(named_struct('start', 0, 'end', 1), named_struct('start', 3, 'end', 4), named_struct('start', 12, 'end', 13))")
+    assert df.select(f.token_categories(F.col("m"), offsets).alias("c")).first().c == [0, 1, 1]
+
+
+def test_json_and_literals_meet_in_one_form(spark):
+    rows = ['[{"b":1,"a":["x", 2]}]', "[{'a': ['x', 2], 'b': 1}]", '[{"instruction_id": "x:y"}]', "[{'instruction_id': ['x', None]}]", "(1,)", "['x']", '[{"instruction_id": 5}]', "[", None]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "i int, t string").select("i", n.parse_spec(F.col("t")).alias("p")).collect()
+    p = {r.i: r.p for r in got}
+    assert p[0].ground_truth_spec == p[1].ground_truth_spec == '[{"a":["x",2],"b":1}]'
+    assert p[2].instruction_ids == ["x:y"] and p[3].instruction_ids == ["x", "None"]
+    assert [p[i].parse_ok for i in range(9)] == [True] * 4 + [False] * 5
+    assert p[4].parse_error.endswith("got tuple") and p[5].parse_error.endswith("got str") and p[6].parse_error == "'int' object is not iterable"
