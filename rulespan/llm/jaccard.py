@@ -36,14 +36,14 @@ from rulespan.llm.components import connected
 N_GRAM = 3
 #: Linked from this intersection on, in hundredths of the union.
 HUNDREDTHS = 90
-#: Upper over lower size of a band.
-BAND_RATIO = 1.35
+#: Upper over lower size of a band, as a power of the ratio of sizes that can still link.
+BAND_POWER = 1.5
 #: Members of a signature group compared with each other in one block.
-BLOCK = 128
+BLOCK = 1024
 #: Bits of the vectors that bound differences from below.
 BITS = 512
-#: What one colliding pair costs, in emitted rows (cost model only).
-PAIR_COST = 20.0
+#: What one pair that collides by chance costs, in emitted rows (cost model only).
+PAIR_COST = 5.0
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -93,10 +93,12 @@ class Bands:
 
     def __init__(self, largest: int, hundredths: int):
         self.t = hundredths
+        ratio = (100 / hundredths) ** BAND_POWER
         self.low = [1]
         while self.low[-1] <= largest:
-            self.low.append(max(self.low[-1] + 1, math.ceil(self.low[-1] * BAND_RATIO)))
-        self.exact, self.near = [0] * len(self.low), [0] * len(self.low)
+            self.low.append(max(self.low[-1] + 1, math.ceil(self.low[-1] * ratio)))
+        n = len(self.low)
+        self.exact, self.near, self.spare = [0] * n, [0] * n, [0] * n
 
     def partner(self, size: int) -> int:
         """The largest set that can link with one of this size."""
@@ -108,19 +110,25 @@ class Bands:
         return (top + self.partner(top)) * (100 - self.t) // (100 + self.t)
 
     def allocate(self, band: int, n: int, mean: float) -> None:
-        """Segments that ask for equality and for one-deletion neighbourhoods: the cheapest mix that suffices."""
+        """Segments that ask for equality, those that allow one deletion, and spare ones: the cheapest mix."""
         need = self.difference(band) + 1
         if need == 1:  # only equal sets link, and those are one node already
             return
 
-        def cost(near: int) -> float:
-            exact = need - 2 * near
+        def cost(near: int, spare: int) -> float:
+            exact = need - 2 * near + spare
             each = mean / (exact + near)
-            pairs = PAIR_COST * n * math.exp(-1.5 * each)
-            return exact * (1 + pairs) + near * (1 + each) * (1 + pairs)
-
-        self.near[band] = min(range(need // 2 + 1), key=cost)
-        self.exact[band] = need - 2 * self.near[band]
+            empty = math.exp(-each)
+            expected = exact * empty
+            # Chance that a set has more empty segments than spare ones, so that it signs them.
+            signs = 1 - sum(math.exp(i * math.log(expected) - expected - math.lgamma(i + 1)) for i in range(spare + 1)) if spare else 1.0
+            pairs = PAIR_COST * n * empty * empty * max(signs, 0.0)
+            return exact * (1 + pairs) + near * (1 + each) * (1 + pairs * each)
+
+        options = [(near, 0) for near in range(need // 2 + 1)]
+        options += [(0, round(1.3**i)) for i in range(1, 40) if 1.3**i <= need]
+        self.near[band], self.spare[band] = min(options, key=lambda o: cost(*o))
+        self.exact[band] = need - 2 * self.near[band] + self.spare[band]
 
     def of(self, size: int) -> list[int]:
         """Bands in which a set signs: its own, and those below from which a smaller set can link with it."""
@@ -145,7 +153,10 @@ class Bands:
             ends = np.cumsum(n)
             total = running[ends] - running[ends - n]
             place = mixed(np.arange(m, dtype=np.uint64) + salt)
-            out.append(mixed(total ^ place))
+            signed = total ^ place
+            if self.spare[band] and (n == 0).sum() <= self.spare[band]:
+                signed = signed[n > 0]
+            out.append(mixed(signed))
             if self.near[band]:  # the last segments also sign each set that lacks one of their elements
                 far = part >= self.exact[band]
                 at = part[far].astype(np.int64)
@@ -153,10 +164,10 @@ class Bands:
         return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
 
 
-def _bits(tokens: np.ndarray) -> bytes:
+def _bits(tokens: np.ndarray) -> list[int]:
     """The parity of the elements in each of BITS classes: two vectors differ in no more bits than the sets in elements."""
     n = np.bincount((mixed(tokens ^ _ODD) % np.uint64(BITS)).astype(np.int64), minlength=BITS)
-    return np.packbits((n & 1).astype(np.uint8)).tobytes()
+    return np.packbits((n & 1).astype(np.uint8)).view(np.int64).tolist()
 
 
 def _raw(docs: DataFrame, *columns: Column) -> DataFrame:
@@ -239,10 +250,10 @@ def _packed(docs: DataFrame, wanted: DataFrame, n_gram: int) -> DataFrame:
             for z in b.column("z").to_pylist():
                 t = shingles(u.decompress(z), n_gram)
                 n.append(len(t)), bits.append(_bits(t))
-            yield pa.RecordBatch.from_arrays([b.column("sid"), b.column("z"), pa.array(n, pa.int64()), pa.array(bits, pa.binary())], ["sid", "z", "n", "bits"])
+            yield pa.RecordBatch.from_arrays([b.column("sid"), b.column("z"), pa.array(n, pa.int64()), pa.array(bits, pa.list_(pa.int64()))], ["sid", "z", "n", "bits"])
 
     texts = _raw(docs, row_key().alias("_k")).mapInArrow(squeeze, "_k bigint, z binary")
-    return wanted.join(texts, "_k").dropDuplicates(["_k"]).select("sid", "z").mapInArrow(measure, "sid bigint, z binary, n bigint, bits binary")
+    return wanted.join(texts, "_k").dropDuplicates(["_k"]).select("sid", "z").mapInArrow(measure, "sid bigint, z binary, n bigint, bits array<bigint>")
 
 
 def _verified(pairs: DataFrame, packed: DataFrame, n_gram: int, hundredths: int) -> DataFrame:
@@ -264,6 +275,15 @@ def _verified(pairs: DataFrame, packed: DataFrame, n_gram: int, hundredths: int)
     return pairs.join(one, "a").join(other, "b").select("a", "b", "za", "zb").mapInArrow(run, "a bigint, b bigint")
 
 
+def _possible(pairs: DataFrame, packed: DataFrame, hundredths: int) -> DataFrame:
+    """The pairs (a, b) that sizes and bit vectors cannot rule out."""
+    for side in ("a", "b"):
+        pairs = pairs.join(packed.select(F.col("sid").alias(side), F.col("n").alias(f"n{side}"), F.col("bits").alias(f"bits{side}")), side)
+    apart = F.aggregate(F.zip_with("bitsa", "bitsb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    sizes = 100 * F.least("na", "nb") >= hundredths * F.greatest("na", "nb")
+    return pairs.filter(sizes & (apart * (100 + hundredths) <= (F.col("na") + F.col("nb")) * (100 - hundredths))).select("a", "b")
+
+
 def _close(members: DataFrame, hundredths: int) -> DataFrame:
     """Pairs of one group in different components that sizes and bit vectors cannot rule out.
 
@@ -273,11 +293,11 @@ def _close(members: DataFrame, hundredths: int) -> DataFrame:
     size = members.groupBy("g").agg(F.count("*").alias("_r"), F.min("component").alias("_c"), F.max("component").alias("_d")).filter("_c <> _d")
     parts = F.ceil(F.col("_r") / BLOCK).cast("int")
     rows = members.join(size.select("g", "_r"), "g").withColumn("_p", parts).withColumn("_own", F.pmod(F.xxhash64("sid"), "_p").cast("int"))
-    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_p") - 1)))
-    rows = rows.withColumns({"_i": F.least("_own", "_other"), "_j": F.greatest("_own", "_other")})
+    rows = rows.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("_p") - 1)))
+    rows = rows.withColumns({"_i": F.least("_own", "__other"), "_j": F.greatest("_own", "__other")})
 
     def run(pdf):
-        bits = np.frombuffer(b"".join(pdf["bits"]), np.uint64).reshape(len(pdf), -1)
+        bits = np.array(pdf["bits"].tolist(), np.int64).view(np.uint64).reshape(len(pdf), -1)
         n, c, sid, own = (pdf[x].to_numpy() for x in ("n", "component", "sid", "_own"))
         i, j = pdf["_i"].iloc[0], pdf["_j"].iloc[0]
         out_a, out_b = [], []
@@ -311,7 +331,7 @@ def components(docs: DataFrame, n_gram: int = N_GRAM, hundredths: int = HUNDREDT
     pivot = shared.join(degree, "sid").groupBy("g").agg(F.max(F.struct("_degree", "sid")).alias("_p")).select("g", F.col("_p.sid").alias("b"))
     star = shared.join(pivot, "g").filter("sid <> b").select(F.col("sid").alias("a"), "b")
     star = star.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    links = stored(_verified(star, packed, n_gram, hundredths), "links")
+    links = stored(_verified(_possible(star, packed, hundredths), packed, n_gram, hundredths), "links")
     label = stored(connected(links, "a", "b"), "labels")
 
     labelled = shared.join(label, F.col("sid") == F.col("node"), "left").select("g", "sid", F.coalesce("component", "sid").alias("component"))
@@ -337,7 +357,7 @@ def components(docs: DataFrame, n_gram: int = N_GRAM, hundredths: int = HUNDREDT
 
 def deduplicated(docs: DataFrame, n_gram: int = N_GRAM, hundredths: int = HUNDREDTHS) -> DataFrame:
     """All columns of one row of each component (of equal rows one), and of every row with an empty set."""
-    others = components(docs, n_gram, hundredths).filter("NOT first").select(F.col("_k").alias("_other")).distinct()
-    keyed = docs.withColumn("_row_key", row_key())
-    left = keyed.join(others, F.col("_row_key") == F.col("_other"), "left_anti")
-    return left.dropDuplicates(["_row_key"]).drop("_row_key")
+    others = components(docs, n_gram, hundredths).filter("NOT first").select(F.col("_k").alias("__other")).distinct()
+    keyed = docs.withColumn("__row_key", row_key())
+    left = keyed.join(others, F.col("__row_key") == F.col("__other"), "left_anti")
+    return left.dropDuplicates(["__row_key"]).drop("__row_key")
