@@ -21,7 +21,7 @@ an n-gram make one shingle of all words; a null doc_id sorts behind all others;
 from __future__ import annotations
 
 import math
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -38,7 +38,9 @@ N_GRAM = 3
 HUNDREDTHS = 90
 #: Upper over lower size of a band, as a power of the ratio of sizes that can still link.
 BAND_POWER = 1.5
-#: Members of a signature group compared with each other in one block.
+#: Groups of up to so many members meet in a plain join, each row with a bounded number of others.
+SMALL = 32
+#: Members of a larger signature group compared with each other in one block.
 BLOCK = 1024
 #: Bits of the vectors that bound differences from below.
 BITS = 512
@@ -279,20 +281,31 @@ def _possible(pairs: DataFrame, packed: DataFrame, hundredths: int) -> DataFrame
     """The pairs (a, b) that sizes and bit vectors cannot rule out."""
     for side in ("a", "b"):
         pairs = pairs.join(packed.select(F.col("sid").alias(side), F.col("n").alias(f"n{side}"), F.col("bits").alias(f"bits{side}")), side)
-    apart = F.aggregate(F.zip_with("bitsa", "bitsb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return pairs.filter(_not_ruled_out(hundredths)).select("a", "b")
+
+
+def _not_ruled_out(hundredths: int) -> Column:
+    """The test of ``_possible`` on (na, bitsa) and (nb, bitsb)."""
+    word = lambda i: F.bit_count(F.get("bitsa", F.lit(i)).bitwiseXOR(F.get("bitsb", F.lit(i))))
+    apart = reduce(Column.__add__, [word(i) for i in range(BITS // 64)])
     sizes = 100 * F.least("na", "nb") >= hundredths * F.greatest("na", "nb")
-    return pairs.filter(sizes & (apart * (100 + hundredths) <= (F.col("na") + F.col("nb")) * (100 - hundredths))).select("a", "b")
+    return sizes & (apart * (100 + hundredths) <= (F.col("na") + F.col("nb")) * (100 - hundredths))
 
 
 def _close(members: DataFrame, hundredths: int) -> DataFrame:
     """Pairs of one group in different components that sizes and bit vectors cannot rule out.
 
-    ``members``: (g, sid, n, bits, component). A group is cut into blocks of about BLOCK members, and every two of its
-    blocks meet in one place; what leaves it are only pairs that pass.
+    ``members``: (g, sid, n, bits, component). Groups of up to SMALL members are joined with themselves. A larger one
+    is cut into blocks of about BLOCK members, and every two of its blocks meet in one place. What leaves either are
+    only pairs that pass.
     """
     size = members.groupBy("g").agg(F.count("*").alias("_r"), F.min("component").alias("_c"), F.max("component").alias("_d")).filter("_c <> _d")
     parts = F.ceil(F.col("_r") / BLOCK).cast("int")
-    rows = members.join(size.select("g", "_r"), "g").withColumn("_p", parts).withColumn("_own", F.pmod(F.xxhash64("sid"), "_p").cast("int"))
+    counted = members.join(size.select("g", "_r"), "g")
+    small = counted.filter(F.col("_r") <= SMALL)
+    side = lambda x: small.select("g", F.col("sid").alias(x), *[F.col(c).alias(f"{c}{x}") for c in ("n", "bits", "component")])
+    few = side("a").join(side("b"), "g").filter((F.col("a") > F.col("b")) & (F.col("componenta") != F.col("componentb")) & _not_ruled_out(hundredths))
+    rows = counted.filter(F.col("_r") > SMALL).withColumn("_p", parts).withColumn("_own", F.pmod(F.xxhash64("sid"), "_p").cast("int"))
     rows = rows.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("_p") - 1)))
     rows = rows.withColumns({"_i": F.least("_own", "__other"), "_j": F.greatest("_own", "__other")})
 
@@ -309,7 +322,8 @@ def _close(members: DataFrame, hundredths: int) -> DataFrame:
             out_a.append(np.maximum(sid[y], sid[x])), out_b.append(np.minimum(sid[y], sid[x]))
         return pd.DataFrame({"a": np.concatenate(out_a or [[]]).astype(np.int64), "b": np.concatenate(out_b or [[]]).astype(np.int64)})
 
-    return rows.select("g", "_i", "_j", "_own", "sid", "n", "bits", "component").groupBy("g", "_i", "_j").applyInPandas(run, "a bigint, b bigint").distinct()
+    many = rows.select("g", "_i", "_j", "_own", "sid", "n", "bits", "component").groupBy("g", "_i", "_j").applyInPandas(run, "a bigint, b bigint")
+    return few.select("a", "b").unionByName(many).distinct()
 
 
 def components(docs: DataFrame, n_gram: int = N_GRAM, hundredths: int = HUNDREDTHS) -> DataFrame:
