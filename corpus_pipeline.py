@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rulespan.llm import bpe, contamination, jaccard, language, pii
-from rulespan.llm.common import stored, table
+from rulespan.llm.common import shipped, stored, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 ORACLE_SQL = None
@@ -18,6 +18,7 @@ ORACLE_SQL = None
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told; those rejected (no text, no letter, far from all centroids) go."""
+    shipped(spark)
     model = language.fit(docs, ~language.held_out())
     return language.predict(docs, model, list(COLUMNS)).filter("NOT rejected").select(*COLUMNS)
 
@@ -55,6 +56,7 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shipped(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name)

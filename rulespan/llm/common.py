@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from collections.abc import Iterator
+from functools import cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +19,25 @@ from rulespan.session import shared_folder
 LAST_ID = (1 << 63) - 1
 
 
+@cache
+def _archive() -> str:
+    """This library as one file, for executors that do not have it."""
+    root = Path(__file__).resolve().parent.parent
+    path = Path(tempfile.mkdtemp(prefix="spark-")) / "rulespan_code.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    return str(path)
+
+
+def shipped(spark: SparkSession) -> SparkSession:
+    """The session, with this library on the path of its Python workers (the driver serves the archive)."""
+    sc = spark.sparkContext
+    if Path(_archive()).name not in getattr(sc, "_python_includes", []):
+        sc.addPyFile(_archive())
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

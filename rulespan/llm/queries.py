@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rulespan.llm import bpe, contamination, jaccard, knn, language, pii, sharding, substrings, suffixes, urls
-from rulespan.llm.common import table
+from rulespan.llm.common import shipped, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -15,7 +15,7 @@ ORACLES: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None):
     def register(plan):
-        QUERIES[name] = plan
+        QUERIES[name] = lambda spark, sf_dir: plan(shipped(spark), sf_dir)
         if sql is not None:
             ORACLES[name] = sql
         return plan
