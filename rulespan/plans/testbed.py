@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rulespan.functions.columns import length_bin
 from rulespan.functions.rules import REGISTERED
+from rulespan.sources.tables import dealt_out
 
 # The runs of the prediction table, (model family, size label, seed, score shift, label gain).
 FAMILIES = ("frozen", "tfidf", "tiny")
@@ -37,8 +38,9 @@ class Testbed:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
     def texts(self, *columns: str) -> DataFrame:
+        """Documents for work that is heavy per row."""
         rows = self.table("documents")
-        return rows.select(*columns) if columns else rows
+        return dealt_out(rows.select(*columns) if columns else rows)
 
     def promptset(self) -> DataFrame:
         ids = F.transform(

@@ -14,6 +14,24 @@ def scan(spark: SparkSession, paths: str | Sequence[str], columns: Sequence[str]
     return df.select(*columns) if columns else df
 
 
+#: Stored bytes up to which a table in few files is dealt out again.
+SMALL_TABLE = 64 << 20
+
+
+def dealt_out(df: DataFrame, most_bytes: int = SMALL_TABLE) -> DataFrame:
+    """A small table in fewer files than cores, dealt out to all cores; any other table as it is.
+
+    One file with one row group is read by one task. The reshuffle is bounded by ``most_bytes`` of stored input, on
+    any cluster: a larger table is left to ``spark.sql.files.maxPartitionBytes``.
+    """
+    spark, files = df.sparkSession, df.inputFiles()
+    cores = spark.sparkContext.defaultParallelism
+    if not files or len(files) >= cores:
+        return df
+    stored = spark.read.format("binaryFile").load(files).agg(F.sum("length")).first()[0]
+    return df.repartition(cores) if stored <= most_bytes else df
+
+
 def shard_union(spark: SparkSession, folders: Sequence[str], flags: Sequence[str] = ()) -> DataFrame:
     """Rows of many shard folders in one scan, tagged with their folder; missing flags read as false."""
     df = spark.read.option("mergeSchema", "true").parquet(*folders)
