@@ -29,9 +29,13 @@ def pretoken_freq(t: Testbed):
     return f.pretoken_frequency(train, "text", 2)
 
 
-def _merges(t: Testbed, n: int = 64):
+# The size of the vocabulary: special tokens, bytes and merges.
+VOCABULARY = 8_000
+
+
+def _merges(t: Testbed, n: int = VOCABULARY - f.BYTES - len(f.SPECIAL_TOKENS)):
     train = t.texts("doc_id", "text").filter(F.col("doc_id") % 10 < 7)
-    return f.bpe_merges(f.pretoken_frequency(train, "text", 2), n, per_round=48)
+    return f.bpe_merges(f.pretoken_frequency(train, "text"), n, per_round=512)
 
 
 @query("bpe_merges")

@@ -74,6 +74,19 @@ def test_vocabulary_and_encoding(spark):
     assert text == "low 新しい"
 
 
+def test_queries_learn_the_whole_vocabulary(spark):
+    from rulespan.plans import registry
+
+    rows = registry.QUERIES["bpe_merges"](spark, "/root/testdata/sf0.001")
+    assert rows.agg({"id": "max"}).first()[0] == 7_999 and rows.count() == 8_000 - 256 - 5
+
+
+def test_rare_pairs_wait_for_those_a_round_makes(spark):
+    # "xy" touches no other pair but is rarer than "ab" with "c", which the first round makes.
+    df = spark.createDataFrame([("abc", 90), ("xy", 20)], "pretoken string, frequency bigint")
+    assert f.bpe_merges(df, 3) == [("61", "62"), ("6162", "63"), ("78", "79")]
+
+
 def f_ids(f, df, merges, key):
     return f.encode_column(df, "v", merges, 10_000).filter(F.col("id") == key).first().input_ids
 
