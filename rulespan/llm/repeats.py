@@ -24,6 +24,9 @@ _BASE = 0x9E3779B97F4A7C15
 PIECE = 1 << 20
 #: Place of the start of a unit's first window in the number that stands for the unit.
 SHIFT = 16
+#: Anchors found in ``OFTEN`` documents of a sample of one in ``SAMPLED`` (a power of two) are common: what they stand
+#: for is dealt out by its own content. Of more than ``MOST``, those in the most documents count.
+SAMPLED, OFTEN, MOST = 64, 32, 100_000
 
 
 @lru_cache(maxsize=2)
@@ -119,8 +122,22 @@ class Alphabet(NamedTuple):
     width: int  # tokens of a window
 
 
-def _signed(batch_docs: list[bytes], ids: np.ndarray, alphabet: Alphabet) -> tuple[np.ndarray, ...]:
-    """(h, e, row, at) of the units of a batch.
+def _common(rows: DataFrame, alphabet: Alphabet) -> np.ndarray:
+    """Anchors of many documents, by a sample that depends on the rows alone. A miss costs time, never a result."""
+
+    def run(batches):
+        for b in slices(batches, "_text", 1 << 20):
+            tokens, lengths = alphabet.tokens([t or b"" for t in b.column("_text").to_pylist()])
+            u = units(tokens, lengths, alphabet.k, alphabet.width)
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.stack([u.doc, u.anchor.view(np.int64)]), axis=1)[1])], ["h"])
+
+    sample = rows.filter(F.xxhash64("d", "_text").bitwiseAND(SAMPLED - 1) == 0).select("_text")
+    counted = sample.mapInArrow(run, "h bigint").groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= OFTEN)
+    return np.array([r.h for r in counted.orderBy(F.col("n").desc(), "h").limit(MOST).collect()], np.int64)
+
+
+def _signed(batch_docs: list[bytes], ids: np.ndarray, alphabet: Alphabet, common: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(h, e, row, at, common) of the units of a batch; those of a common anchor go by their content.
 
     ``at`` holds the first window's start (from bit SHIFT), how far behind the last window's start the anchor lies (7
     bits), a mark and how many windows follow the first (8 bits).
@@ -138,8 +155,10 @@ def _signed(batch_docs: list[bytes], ids: np.ndarray, alphabet: Alphabet) -> tup
     marked = np.zeros(len(d), bool)
     marked[order] = d[order] > first
     at = (u.first << SHIFT) | (u.place << 9) | (marked.astype(np.int64) << 8) | (u.count - 1)
-    key = np.where(marked, mixed(u.content + d.astype(np.uint64) * np.uint64(_BASE) + u.first.astype(np.uint64)), u.anchor)
-    return key.view(np.int64), u.content.view(np.int64), u.doc, at
+    often = np.isin(u.anchor.view(np.int64), common)
+    key = np.where(often, mixed(u.content), u.anchor)
+    key = np.where(marked, mixed(u.content + d.astype(np.uint64) * np.uint64(_BASE) + u.first.astype(np.uint64)), key)
+    return key.view(np.int64), u.content.view(np.int64), u.doc, at, often
 
 
 def _clash(docs: DataFrame) -> bool:
@@ -148,26 +167,30 @@ def _clash(docs: DataFrame) -> bool:
     return bool(ids.groupBy("d").agg(F.min("t").alias("a"), F.max("t").alias("b")).filter("a <> b").limit(1).count())
 
 
-def _first_round(rows: DataFrame, alphabet: Alphabet, keys: list[str]) -> DataFrame:
-    """Per document the units settled as repeats of a smaller document, and those to look at window by window."""
+def _first_round(rows: DataFrame, alphabet: Alphabet, keys: list[str], common) -> DataFrame:
+    """Per document the units settled as repeats of a smaller document, and those to look at window by window.
+
+    Units of a common anchor meet their equals only, which spreads them; all others of them are to be looked at.
+    """
 
     def run(batches):
         for b in slices(batches, "_text", 1 << 20):
             texts = [t or b"" for t in b.column("_text").to_pylist()]
             ids = b.column("d").to_numpy(zero_copy_only=False)
-            h, e, row, at = _signed(texts, ids, alphabet)
+            h, e, row, at, often = _signed(texts, ids, alphabet, common.value)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h), pa.array(e), *[pa.array(b.column(c).to_numpy(zero_copy_only=False)[row]) for c in keys], pa.array(at)], ["h", "e", *keys, "at"]
+                [pa.array(h), pa.array(e), *[pa.array(b.column(c).to_numpy(zero_copy_only=False)[row]) for c in keys], pa.array(at), pa.array(often)],
+                ["h", "e", *keys, "at", "common"],
             )
 
-    found = rows.mapInArrow(run, "h bigint, e bigint, " + "".join(f"{c} bigint, " for c in keys) + "at bigint")
+    found = rows.mapInArrow(run, "h bigint, e bigint, " + "".join(f"{c} bigint, " for c in keys) + "at bigint, common boolean")
     whole = (Window.unboundedPreceding, Window.unboundedFollowing)
     anchor = Window.partitionBy("h").orderBy("e").rowsBetween(*whole)
     content = Window.partitionBy("h", "e")
     found = found.withColumns({"_a": F.min("d").over(anchor), "_b": F.max("d").over(anchor), "_e": F.min("e").over(anchor), "_f": F.max("e").over(anchor)})
     found = found.withColumn("_m", F.min("d").over(content))
     repeat = (F.col("at").bitwiseAND(256) != 0) | (F.col("d") > F.col("_m"))
-    unclear = ~repeat & (F.col("_e") != F.col("_f")) & (F.col("_a") != F.col("_b"))
+    unclear = ~repeat & (F.col("common") | ((F.col("_e") != F.col("_f")) & (F.col("_a") != F.col("_b"))))
     return (
         found.filter(repeat | unclear)
         .groupBy(keys[-1])
@@ -195,8 +218,30 @@ def _halves(hashes: Hashes, marks: np.ndarray, alphabet: Alphabet) -> tuple[np.n
     return key, start, np.concatenate([split[left], last[right]]) - start + 1
 
 
-def _unclear_rows(alphabet: Alphabet, keys: list[str], payload: Callable):
+def _single(marks: np.ndarray, hashes: Hashes, alphabet: Alphabet) -> tuple[np.ndarray, np.ndarray]:
+    """(key, start) of every window of units with a common anchor; the key is the window's own."""
+    first, n = marks >> SHIFT, (marks & 255) + 1
+    start = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+    return mixed(hashes.ranges(start, start + alphabet.width) ^ np.uint64(2)), start
+
+
+def _met(found: list[tuple], keys: list[str]) -> tuple[list[np.ndarray], list]:
+    """Columns of the windows ``_single`` found in a task's documents, with b"" or, for a repeat of a smaller document
+    of the task, null: that settles it, so of a window many documents have few rows share its key."""
+    key, start = (np.concatenate(c) for c in zip(*[f[:2] for f in found]))
+    own = [np.repeat([f[2][i] for f in found], [len(f[0]) for f in found]) for i in range(len(keys))]
+    order = np.lexsort((own[0], key))
+    k, d = key[order], own[0][order]
+    new = np.r_[True, k[1:] != k[:-1]]
+    later = np.zeros(len(key), bool)
+    later[order] = d > d[np.flatnonzero(new)][np.cumsum(new) - 1]
+    key = np.where(later, mixed(key + own[-1].view(np.uint64) * np.uint64(_BASE) + start.astype(np.uint64)), key)
+    return [key, *own, start], [None if x else b"" for x in later.tolist()]
+
+
+def _unclear_rows(alphabet: Alphabet, keys: list[str], payload: Callable, common):
     def run(batches):
+        found, size = [], 0
         u = zstandard.ZstdDecompressor()
         for b in batches:
             cols = {c: [] for c in ("key", *keys, "first", "windows")}
@@ -205,7 +250,16 @@ def _unclear_rows(alphabet: Alphabet, keys: list[str], payload: Callable):
                     continue
                 text = u.decompress(z)
                 hashes = Hashes(alphabet.tokens([text])[0])
-                key, first, n = _halves(hashes, np.array(marks, np.int64), alphabet)
+                marks = np.array(marks, np.int64)
+                p = (marks >> SHIFT) + (marks & 255) + (marks >> 9 & 127)
+                often = np.isin(hashes.ranges(p, p + alphabet.k).view(np.int64), common.value)
+                if often.any():
+                    found.append((*_single(marks[often], hashes, alphabet), own))
+                    size += len(found[-1][0])
+                    if size > 200_000:
+                        yield out(dict(zip(cols, [*(c := _met(found, keys))[0], c[1]])))
+                        found, size = [], 0
+                key, first, n = _halves(hashes, marks[~often], alphabet)
                 cols["key"].extend(key.tolist())
                 for c, v in zip(keys, own):
                     cols[c].extend([v] * len(key))
@@ -215,6 +269,8 @@ def _unclear_rows(alphabet: Alphabet, keys: list[str], payload: Callable):
                     yield out(cols)
                     cols = {c: [] for c in cols}
             yield out(cols)
+        if found:
+            yield out(dict(zip(("key", *keys, "first", "windows"), [*(c := _met(found, keys))[0], c[1]])))
 
     def out(cols):
         arrays = [pa.array(np.array(cols["key"], np.uint64).view(np.int64)), *[pa.array(cols[c], pa.int64()) for c in (*keys, "first")], pa.array(cols["windows"], pa.binary())]
@@ -224,7 +280,10 @@ def _unclear_rows(alphabet: Alphabet, keys: list[str], payload: Callable):
 
 
 def _compared(keys: list[str], unpack: Callable):
-    """Windows of rows sorted by (key, d): those of which a smaller document has an equal one, as runs."""
+    """Windows of rows sorted by (key, d): those of which a smaller document has an equal one, as runs.
+
+    A row without bytes is one window that its key names; one with null is a window settled before.
+    """
 
     def run(batches):
         last, seen = None, {}
@@ -235,7 +294,14 @@ def _compared(keys: list[str], unpack: Callable):
             d = b.column("d").to_numpy()
             own = b.column(keys[-1]).to_numpy()
             first = b.column("first").to_numpy()
-            hashes, counts = unpack(b.column("windows").to_pylist())
+            windows = b.column("windows").to_pylist()
+            full = np.array([bool(w) for w in windows])
+            counts = np.ones(len(windows), np.int64)
+            if full.any():
+                some, counts[full] = unpack([w for w in windows if w])
+            hashes = np.zeros(int(counts.sum()), np.uint64)
+            if full.any():
+                hashes[np.repeat(full, counts)] = some
             row = np.repeat(np.arange(len(key)), counts)
             order = np.lexsort((d[row], hashes, key[row]))
             k, h, w_d = key[row][order], hashes[order], d[row][order]
@@ -254,6 +320,7 @@ def _compared(keys: list[str], unpack: Callable):
                 seen[x] = min(y, seen.get(x, y))
             gone = np.zeros(len(row), bool)
             gone[order] = w_d > least[group]
+            gone |= np.array([w is None for w in windows])[row]
             place = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts) + first[row]
             at, r = place[gone], row[gone]
             start = np.flatnonzero(np.r_[True, (r[1:] != r[:-1]) | (at[1:] != at[:-1] + 1)]) if len(r) else np.zeros(0, np.int64)
@@ -273,7 +340,8 @@ def with_repeats(docs: DataFrame, alphabet: Alphabet, payload: Callable, unpack:
     keys = ["d", "r"] if _clash(docs) else ["d"]
     r = keys[-1]
     rows = docs.select("doc_id", d.alias("d"), *([row_key().alias("r")] if len(keys) == 2 else []), F.col("text").cast("binary").alias("_text"))
-    first = stored(_first_round(rows.select(*keys, "_text"), alphabet, keys), "repeats")
+    common = docs.sparkSession.sparkContext.broadcast(_common(rows, alphabet))
+    first = stored(_first_round(rows.select(*keys, "_text"), alphabet, keys, common), "repeats")
 
     def squeeze(batches):
         z = zstandard.ZstdCompressor(level=3)
@@ -289,7 +357,7 @@ def with_repeats(docs: DataFrame, alphabet: Alphabet, payload: Callable, unpack:
     long_keys = "key bigint, " + "".join(f"{c} bigint, " for c in keys) + "first bigint, windows binary"
     # A left join on all columns of the texts, as the last one is: so Spark reads the same exchange twice.
     looked_at = texts.join(unclear, r, "left").select("doc_id", F.when(F.col("unclear").isNotNull(), F.col("z")).alias("z"), "unclear", *keys)
-    windows = looked_at.mapInArrow(_unclear_rows(alphabet, keys, payload), long_keys)
+    windows = looked_at.mapInArrow(_unclear_rows(alphabet, keys, payload, common), long_keys)
     more = windows.repartition("key").sortWithinPartitions("key", "d").mapInArrow(_compared(keys, unpack), f"{r} bigint, at bigint")
     more = more.groupBy(r).agg(F.collect_list("at").alias("more"))
     none = F.array().cast("array<bigint>")

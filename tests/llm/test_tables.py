@@ -293,3 +293,53 @@ def test_held_out_is_the_checksum_of_the_id(spark):
 
     got = spark.range(50).withColumnRenamed("id", "doc_id").select("doc_id", language.held_out().alias("x")).collect()
     assert [r.x for r in got] == [zlib.crc32(str(r.doc_id).encode()) % 4 == 2 for r in got]
+
+
+def test_a_phrase_of_many_documents_is_no_single_key(frame, monkeypatch, tmp_path):
+    """A phrase of 10 words in 240 documents, each with its own words around it or those of an earlier document."""
+    import uuid
+    from collections import Counter
+
+    from rulespan.llm import repeats, substrings, suffixes
+
+    phrase = "ten words that very many documents of this table have"
+    around = [" ".join(f"w{i % 200}x{j}" for j in range(12)) for i in range(240)]
+    rows = [(i, f"{around[i]} {phrase} {around[i][::-1] if i < 220 else around[i]}") for i in range(240)]
+    compared, folder = repeats._compared, str(tmp_path)
+
+    def counting(keys, unpack):
+        inner = compared(keys, unpack)
+
+        def run(batches):
+            seen = Counter()
+
+            def passed():
+                for b in batches:
+                    seen.update(b.column("key").to_pylist())
+                    yield b
+
+            yield from inner(passed())
+            with open(f"{folder}/{uuid.uuid4().hex}", "w") as out:
+                out.write(str(max(seen.values(), default=0)))
+
+        return run
+
+    monkeypatch.setattr(repeats, "_compared", counting)
+    monkeypatch.setattr(repeats, "SAMPLED", 1, raising=False)
+
+    def expected(units, width):
+        least, gone = {}, []
+        for i, u in enumerate(units):
+            for a in range(len(u) - width + 1):
+                least.setdefault(tuple(u[a : a + width]), i)
+        for i, u in enumerate(units):
+            hit = {a + j for a in range(len(u) - width + 1) if least[tuple(u[a : a + width])] < i for j in range(width)}
+            gone.append(len(hit))
+        return gone
+
+    docs = frame(rows)
+    found = {r.doc_id: r.n_removed for r in substrings.deduplicate(docs).collect()}
+    assert [found[i] for i in range(240)] == expected([t.split() for _, t in rows], 13)
+    found = {r.doc_id: r.n_removed for r in suffixes.deduplicate(docs).collect()}
+    assert [found[i] for i in range(240)] == expected([t.encode() for _, t in rows], 50)
+    assert max(int(f.read_text()) for f in tmp_path.iterdir()) <= 24
