@@ -81,6 +81,20 @@ def test_queries_learn_the_whole_vocabulary(spark):
     assert rows.agg({"id": "max"}).first()[0] == 7_999 and rows.count() == 8_000 - 256 - 5
 
 
+def test_classifier_terms_are_token_ngrams(spark, monkeypatch):
+    from rulespan.plans import q_features as q
+    from rulespan.plans.testbed import Testbed
+
+    merges = q._merges
+    monkeypatch.setattr(q, "_merges", lambda t: merges(t, 50))
+    t = Testbed(spark, "/root/testdata/sf0.001")
+    counts = q.token_terms(t)
+    sizes = counts.select(F.size(F.split("term", " ")).alias("n"), F.col("term").rlike("^[0-9 ]+$").alias("ids")).distinct().collect()
+    assert {(r.n, r.ids) for r in sizes} == {(1, True), (2, True), (3, True)}
+    monkeypatch.setattr(q, "token_terms", lambda t: counts)
+    assert q.top_coefficients(t).filter(F.size(F.split("term", " ")) > 1).count() > 0
+
+
 def test_rare_pairs_wait_for_those_a_round_makes(spark):
     # "xy" touches no other pair but is rarer than "ab" with "c", which the first round makes.
     df = spark.createDataFrame([("abc", 90), ("xy", 20)], "pretoken string, frequency bigint")
