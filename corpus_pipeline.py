@@ -42,8 +42,14 @@ def pii_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, and whether decoding and encoding them again gives the same ids."""
-    return bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"), keep=("doc_id", "lang", "source")).withColumn("n_tokens", F.size("ids").cast("bigint"))
+    """Token ids of every document, and the digest of the text they decode to.
+
+    Decoding joins vocabulary strings by spaces, so encoding that text again need not give the same ids.
+    """
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rows = bpe.encode(docs, path, keep=("doc_id", "lang", "source")).withColumn("n_tokens", F.size("ids").cast("bigint"))
+    decoded = bpe.decode(rows, path, keep=("doc_id", "lang", "source", "ids", "n_tokens"))
+    return decoded.withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("decoded")
 
 
 STAGES = [

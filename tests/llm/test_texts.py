@@ -191,3 +191,19 @@ def test_scan_and_heap_agree():
         raw = t.encode()[:80]
         parts = [codec._one[b] for b in raw]
         assert codec._by_scan(list(parts)) == codec._by_heap(list(parts))
+
+
+def test_the_token_stage_decodes(spark, frame):
+    import hashlib
+
+    import corpus_pipeline
+    import public_tokenizers
+    from rulespan.llm import bpe
+
+    docs = frame([(1, "Some words, 新しい ones too."), (2, ""), (3, None)], extra=False)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    codec = bpe.Codec(open(path, encoding="utf-8").read())
+    rows = corpus_pipeline.tokens(spark, docs, "").collect()
+    assert {r.doc_id for r in rows} == {1, 2, 3}
+    for r in rows:
+        assert r.n_tokens == len(r.ids) and r.decoded_sha256 == hashlib.sha256(codec.decode(r.ids).encode()).hexdigest()
