@@ -1,11 +1,9 @@
-"""Repeated byte strings of at least 50 bytes: prefix doubling over a sparse suffix array.
-
-Positions are names of growing strings. Sorting all positions of 100 TB of text is out of reach, so the array holds
-only sampled positions: in every 50 bytes the anchor, the 16-gram with the smallest hash (equal strings have equal
-anchors). Round one sorts them by the name of their 16 bytes and reranks by the name of what they span on both sides;
-positions that are unique drop out, those that agree past the threshold are settled. Round two doubles the offset for
-the rest: the pair of an anchor's name with that of the 17 bytes beside it names 33 bytes; positions that still agree
-are compared at the threshold of 50. Each round is one sort by names in Spark.
+"""Repeated byte strings of at least 50 bytes: seed and extend over bytes.
+
+The method is that of ``substrings`` with bytes for words, not prefix doubling: there are no rank pairs and no reranking.
+In every 50 bytes the anchor is the 16-gram with the smallest hash (equal strings have equal anchors). Step one compares
+what the anchors' units span on both sides; units that are unique drop out, equal ones are settled. Step two compares the
+rest window by window, under the anchor and the 17 bytes beside it.
 
 Each byte covered by a 50-byte string that also starts in a document with a smaller id is removed, judged on the
 input. Edge cases: a null text is empty; texts under 50 bytes stay whole; repeats inside one document stay; rows with
