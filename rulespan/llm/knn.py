@@ -9,8 +9,9 @@ with one matrix product, and the local best are merged.
 
 Edge cases: vectors that are null, or hold a null or non-finite component, take no part, nor do rows without an id.
 Shorter vectors count as filled with zeros. Of rows with a repeated id each is a candidate; a query leaves out one row
-equal to itself. Repeated query rows count once. Fewer than k candidates give fewer rows. Components are exact up to
-2^31 after scaling and held at that bound beyond it.
+equal to itself. Repeated query rows count once. Fewer than k candidates give fewer rows; an empty table gives none.
+Scaled components are whole numbers held as doubles, exact at any size; products are summed without rounding, and a
+score that does not fit 64 bits is an error, as is a component that overflows when scaled.
 """
 
 from __future__ import annotations
@@ -28,7 +29,8 @@ MOST_PIVOTS, QUERIES_A_PIVOT = 128, 64
 PIVOT_SAMPLE = 1024
 #: Queries in one block, and parts over which a group's chunks are spread.
 QUERY_BLOCK, SALTS = 512, 16
-_LIMIT = (1 << 31) - 1
+#: Sums below the first are exact in doubles, below the second in 64-bit integers.
+_EXACT_DOUBLE, _EXACT_LONG = float(1 << 53), float(1 << 63)
 
 
 def _scaled(batches):
@@ -41,30 +43,38 @@ def _scaled(batches):
             x = np.array(v, np.float64)
             if np.isfinite(x).all():
                 out_id.append(i)
-                out_v.append(np.clip(np.floor(SCALE * x), -_LIMIT, _LIMIT).astype("<i4").tobytes())
+                whole = np.floor(SCALE * x)
+                if not np.isfinite(whole).all():
+                    raise OverflowError(f"vector {i} is too large to scale by {SCALE}")
+                out_v.append(whole.astype("<f8").tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(out_id, pa.int64()), pa.array(out_v, pa.binary())], ["vec_id", "v"])
 
 
 def _matrix(vectors: list[bytes], dims: int) -> np.ndarray:
-    if all(len(v) == 4 * dims for v in vectors):
-        return np.frombuffer(b"".join(vectors), "<i4").reshape(len(vectors), dims)
-    out = np.zeros((len(vectors), dims), "<i4")
+    if all(len(v) == 8 * dims for v in vectors):
+        return np.frombuffer(b"".join(vectors), "<f8").reshape(len(vectors), dims)
+    out = np.zeros((len(vectors), dims), "<f8")
     for i, v in enumerate(vectors):
-        out[i, : len(v) // 4] = np.frombuffer(v, "<i4")
+        out[i, : len(v) // 8] = np.frombuffer(v, "<f8")
     return out
 
 
 def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """a b' without rounding."""
+    """a b' of whole numbers, without rounding."""
     most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(1, a.shape[1])
-    if most < 2**53:
-        return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    return a.astype(np.int64) @ b.astype(np.int64).T
+    if most < _EXACT_DOUBLE:
+        return (a @ b.T).astype(np.int64)
+    if most < _EXACT_LONG:
+        return a.astype(np.int64) @ b.astype(np.int64).T
+    whole = np.array([[sum(int(x) * int(y) for x, y in zip(p, q)) for q in b] for p in a], object).reshape(len(a), len(b))
+    if whole.size and max(abs(int(x)) for x in whole.ravel()) >= 1 << 63:
+        raise OverflowError("a score does not fit 64 bits")
+    return whole.astype(np.int64)
 
 
 def _pivots(queries: DataFrame, dims: int, n: int) -> np.ndarray:
     sample = queries.orderBy(F.xxhash64("vec_id", "v"), "v").select("v").limit(PIVOT_SAMPLE).collect()
-    x = np.unique(_matrix([bytes(r["v"]) for r in sample], dims).astype(np.float64), axis=0) if sample else np.zeros((0, dims))
+    x = np.unique(_matrix([bytes(r["v"]) for r in sample], dims), axis=0) if sample else np.zeros((0, dims))
     if not len(x):
         return x
     chosen, far = [0], np.linalg.norm(x - x[0], axis=1)
@@ -85,7 +95,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 10) -> DataFrame:
     data = stored(vectors.select("vec_id", "embedding").mapInArrow(_scaled, "vec_id bigint, v binary"), "vectors")
     queries = stored(data.filter(is_query).dropDuplicates(["vec_id", "v"]), "query-vectors")
     sizes = data.agg(F.max(F.octet_length("v")).alias("bytes")).first()
-    dims, n_queries = (sizes["bytes"] or 0) // 4, queries.count()
+    dims, n_queries = (sizes["bytes"] or 0) // 8, queries.count()
     pivots = _pivots(queries, dims, min(MOST_PIVOTS, max(1, n_queries // QUERIES_A_PIVOT)))
     known = data.sparkSession.sparkContext.broadcast(pivots)
 
@@ -93,7 +103,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 10) -> DataFrame:
         c = known.value
         for b in batches:
             if b.num_rows:
-                own, far = _nearest(_matrix(b.column("v").to_pylist(), dims).astype(np.float64), c)
+                own, far = _nearest(_matrix(b.column("v").to_pylist(), dims), c)
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own.astype(np.int32)), pa.array(far)], [*b.schema.names, "g", "far"])
 
     members = stored(queries.mapInArrow(grouped, "vec_id bigint, v binary, g int, far double"), "query-groups")
@@ -103,12 +113,14 @@ def top_k(vectors: DataFrame, is_query, k: int = 10) -> DataFrame:
 
     def bounded(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Products with each pivot, and how far a query of its group may differ (a little more, for rounding)."""
-        return x @ known.value.T, np.linalg.norm(x, axis=1)[:, None] * np.maximum(radius, 0) * (1 + 1e-9) + 1e-3
+        size = np.linalg.norm(x, axis=1)[:, None]
+        rounding = 1e-15 * (dims + 2) * size * np.linalg.norm(known.value, axis=1)
+        return x @ known.value.T, size * np.maximum(radius, 0) * (1 + 1e-9) + rounding + 1e-3
 
     def summaries(batches):
         for b in batches:
             if b.num_rows:
-                mid, off = bounded(_matrix(b.column("v").to_pylist(), dims).astype(np.float64))
+                mid, off = bounded(_matrix(b.column("v").to_pylist(), dims))
                 low = -np.sort(-(mid - off), axis=0)[: k + 1]
                 g = np.tile(np.arange(low.shape[1], dtype=np.int32), len(low))
                 yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(low.ravel())], ["g", "low"])
@@ -128,7 +140,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 10) -> DataFrame:
                 continue
             v = np.array(b.column("v").to_pylist(), object)
             ids = b.column("vec_id").to_numpy(zero_copy_only=False)
-            mid, off = bounded(_matrix(list(v), dims).astype(np.float64))
+            mid, off = bounded(_matrix(list(v), dims))
             need = (mid + off >= bound) & (radius >= 0)
             for g in np.flatnonzero(need.any(0)):
                 at = np.flatnonzero(need[:, g])
@@ -161,7 +173,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 10) -> DataFrame:
         for b in batches:
             for row in b.to_pylist():
                 ids, q_ids = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["q_ids"], "<i8")
-                x, q = (np.frombuffer(row[c], "<i4").reshape(len(i), dims) for c, i in (("m", ids), ("q", q_ids)))
+                x, q = (np.frombuffer(row[c], "<f8").reshape(len(i), dims) for c, i in (("m", ids), ("q", q_ids)))
                 s = _products(q, x)
                 out = [[], [], [], []]
                 for i in range(len(q_ids)):

@@ -202,7 +202,7 @@ def test_top_k_by_brute_force(spark, kind, monkeypatch):
     rows = [(i, [float(c) for c in v], "clash") for i, v in enumerate(x)]
     rows += [(5000, None, ""), (5010, [1.0, None], ""), (5020, [float("nan")] * 4, ""), (5030, [float("inf"), 1.0], ""), (None, [1.0], ""), (5040, [0.5], "")]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, score string")
-    v = {i: np.clip(np.floor(1024 * np.array(e)), -(2**31 - 1), 2**31 - 1).astype(np.int64).astype(object) for i, e, _ in rows if i is not None and e and all(c is not None and np.isfinite(c) for c in e)}
+    v = {i: np.floor(1024 * np.array(e)).astype(np.int64).astype(object) for i, e, _ in rows if i is not None and e and all(c is not None and np.isfinite(c) for c in e)}
     want = []
     for q in v:
         if q % 10 == 0:
@@ -219,6 +219,18 @@ def test_search_with_few_rows_and_repeated_ones(spark):
     assert sorted(map(tuple, got)) == [(0, 1, 0, 1 << 20), (0, 2, 1, 1 << 19)]
 
 
+def test_search_keeps_large_components_apart(spark):
+    rows = [(0, [2e6, 0.0]), (1, [3e6, 1.0]), (2, [4e6, -1.0]), (3, [2.5e6, 2.0])]
+    got = knn.top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), F.col("vec_id") == 0, 3).collect()
+    assert sorted((x["rank"], x["vec_id"], x["score"]) for x in got) == [(1, 2, 8 * 10**12 << 20), (2, 1, 6 * 10**12 << 20), (3, 3, 5 * 10**12 << 20)]
+
+
+def test_scores_beyond_64_bits_are_an_error(spark):
+    rows = [(0, [3e6]), (1, [4e6])]
+    with pytest.raises(Exception, match="does not fit 64 bits"):
+        knn.top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), F.col("vec_id") == 0, 3).collect()
+
+
 # -- url rules -----------------------------------------------------------------------------------------------------
 
 
