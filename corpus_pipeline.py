@@ -47,9 +47,8 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Decoding joins vocabulary strings by spaces, so encoding that text again need not give the same ids.
     """
     path = public_tokenizers.path("word_bpe_49k.json")
-    rows = bpe.encode(docs, path, keep=("doc_id", "lang", "source")).withColumn("n_tokens", F.size("ids").cast("bigint"))
-    decoded = bpe.decode(rows, path, keep=("doc_id", "lang", "source", "ids", "n_tokens"))
-    return decoded.withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("decoded")
+    rows = bpe.encode(docs, path, keep=("doc_id", "lang", "source"), decoded=True)
+    return rows.withColumn("n_tokens", F.size("ids").cast("bigint")).withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("decoded")
 
 
 STAGES = [

@@ -19,6 +19,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, functions as F
 
@@ -151,18 +152,25 @@ def _fields(docs: DataFrame, keep) -> tuple[list, str]:
     return fields, "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in fields)
 
 
-def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns of every row with its token ids."""
+#: Token ids in one Arrow batch of results, so that one batch holds a bounded number of bytes.
+IDS_A_BATCH = 1 << 19
+
+
+def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), decoded: bool = False) -> DataFrame:
+    """``keep`` columns of every row with its token ids; ``decoded`` adds the text they decode to, from the same task."""
     source = _source(docs.sparkSession, path)
     fields, schema = _fields(docs, keep)
+    names = [*[f.name for f in fields], "ids", *(["decoded"] if decoded else [])]
 
     def run(batches):
         c = codec(source.value)
         for b in slices(batches, "_text", 1 << 20):
             ids = [c.encode(t) for t in b.column("_text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*[b.column(f.name) for f in fields], pa.array(ids, pa.list_(pa.int32()))], [*[f.name for f in fields], "ids"])
+            texts = [pa.array([c.decode(i) for i in ids], pa.string())] if decoded else []
+            yield pa.RecordBatch.from_arrays([*[b.column(f.name) for f in fields], pa.array(ids, pa.list_(pa.int32())), *texts], names)
 
-    return docs.select(*[F.col(f.name) for f in fields], F.col("text").alias("_text")).mapInArrow(run, f"{schema}ids array<int>")
+    rows = docs.select(*[F.col(f.name) for f in fields], F.col("text").alias("_text"))
+    return rows.mapInArrow(run, f"{schema}ids array<int>{', decoded string' if decoded else ''}")
 
 
 def decode(rows: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -172,9 +180,13 @@ def decode(rows: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> D
 
     def run(batches):
         c = codec(source.value)
-        for b in batches:
-            texts = [c.decode(ids or ()) for ids in b.column("_ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*[b.column(f.name) for f in fields], pa.array(texts, pa.string())], [*[f.name for f in fields], "decoded"])
+        for whole in batches:
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(whole.column("_ids")), 0).to_numpy(zero_copy_only=False)) // IDS_A_BATCH
+            cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), whole.num_rows]
+            for a, z in zip(cuts, cuts[1:]):
+                b = whole.slice(a, z - a)
+                texts = [c.decode(ids or ()) for ids in b.column("_ids").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*[b.column(f.name) for f in fields], pa.array(texts, pa.string())], [*[f.name for f in fields], "decoded"])
 
     return rows.select(*[F.col(f.name) for f in fields], F.col("ids").alias("_ids")).mapInArrow(run, f"{schema}decoded string")
 
