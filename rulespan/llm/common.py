@@ -66,6 +66,27 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     return F.xxhash64(F.col(doc_id), F.col(text))
 
 
+#: A key is hot when it holds more than this share of the rows: there are fewer than one over it of them.
+HOT_SHARE = 1 / 512
+
+
+def with_label(rows: DataFrame, labels: DataFrame, key: str, counts: DataFrame, spread: str) -> DataFrame:
+    """``rows`` with the columns that ``labels`` (one row for each key) has for their key, without a hot task.
+
+    ``counts`` is (key, rows): keys that hold more than ``HOT_SHARE`` of all rows, fewer than 512, get their labels from
+    a broadcast of that bounded size. Their rows go through the other join spread by ``spread`` and match nothing there.
+    """
+    names = [c for c in labels.columns if c != key]
+    total = counts.agg(F.sum("rows")).scalar()
+    few = labels.join(counts.filter(F.col("rows") > HOT_SHARE * total).select(key), key).limit(int(1 / HOT_SHARE))
+    hot = few.select(F.col(key).alias("_hot"), F.struct(*names).alias("_of_hot"))
+    marked = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
+    marked = marked.withColumn("_part", F.when(F.col("_of_hot").isNull(), 0).otherwise(F.pmod(F.xxhash64(spread), F.lit(1 << 20)) + 1))
+    rest = labels.select(F.col(key).alias("_cold"), F.lit(0).cast("bigint").alias("_cold_part"), F.struct(*names).alias("_of_cold"))
+    both = marked.join(rest, (F.col(key) == F.col("_cold")) & (F.col("_part") == F.col("_cold_part")), "left")
+    return both.select(*[F.col(c) for c in rows.columns if c not in names], *[F.coalesce(f"_of_hot.{c}", f"_of_cold.{c}").alias(c) for c in names])
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Batches cut so that a text column holds about ``most_bytes`` at once (one longer text stays alone)."""
     for batch in batches:
