@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 from rulespan.functions import text as tx
 from rulespan.operators import features as f
 from rulespan.operators import models as ml
+from rulespan.operators import vocabulary
 from rulespan.operators.metrics import area_metrics, curve, score_counts
 from rulespan.plans import sqltext as q
 from rulespan.plans.catalog import query
 from rulespan.plans.q_metrics import rounded
 from rulespan.plans.q_profile import cif
 from rulespan.plans.testbed import Testbed, with_tables
-from rulespan.session import checkpointed
+from rulespan.session import content_key, kept
 
 
 def on(*names: str, body: str) -> str:
@@ -34,20 +35,25 @@ def pretoken_freq(t: Testbed):
 VOCABULARY = 8_000
 
 
-def _merges(t: Testbed, n: int = VOCABULARY - f.BYTES - len(f.SPECIAL_TOKENS)):
+def learnt(t: Testbed, n: int = VOCABULARY - vocabulary.BYTES - len(vocabulary.SPECIAL_TOKENS)):
+    """The token table learnt from the training documents; queries over the same documents share it."""
     train = t.texts("doc_id", "text").filter(F.col("doc_id") % 10 < 7)
-    return f.bpe_merges(f.pretoken_frequency(train, "text"), n, per_round=512)
+
+    def make():
+        return vocabulary.token_table(t.spark, vocabulary.learn(f.pretoken_frequency(train, "text"), n))
+
+    return kept(t.spark, "vocabulary", f"{content_key(train, 'doc_id', 'text')}-{n}", make)
 
 
 @query("bpe_merges")
 def bpe_merges(t: Testbed):
-    return f.vocabulary(t.spark, _merges(t)).filter(F.col("kind") == "merge")
+    return learnt(t).filter(F.col("kind") == "merge").select("id", "token", "kind")
 
 
 @query("encode_column")
 def encode_column(t: Testbed):
     rows = t.texts("doc_id", "text")
-    out = f.encode_column(rows, "text", _merges(t), 2048)
+    out = f.encode_column(rows, "text", vocabulary.merges_of(learnt(t)), 2048)
     return out.select("doc_id", "token_count_full", "token_count", "truncated", F.md5(f.ids_text(F.col("input_ids"))).alias("ids_digest"))
 
 
@@ -86,7 +92,7 @@ def tfidf(t: Testbed):
     counts = f.term_counts(rows, "doc_id", tx.words(F.lower("text")))
     n = t.table("documents").count()
     terms = f.select_terms(counts, n, 2, 0.5, TERMS)
-    return rounded(f.tfidf(counts, terms, "doc_id", n, bounded=False), "weight")
+    return rounded(f.tfidf(counts, terms, "doc_id", n), "weight")
 
 
 @query("char_ngrams", f"""WITH words AS (SELECT doc_id, ' ' || w || ' ' AS w, count(*) AS c FROM (SELECT doc_id, unnest({WORDS_SQL}) AS w FROM documents) GROUP BY ALL),
@@ -103,10 +109,14 @@ def labelled(t: Testbed):
 
 
 def token_terms(t: Testbed):
-    """Counts of the n-grams of one to three token ids of every document, written once: models read them often."""
-    rows = f.encode_column(t.texts("doc_id", "text"), "text", _merges(t), 2048)
-    tokens = F.filter(F.split(f.ids_text(F.col("input_ids")), " "), lambda x: x != "")
-    return checkpointed(f.term_counts(rows.select("doc_id", tokens.alias("tokens")), "doc_id", f.ngrams(F.col("tokens"), 1, 3)))
+    """Counts of the n-grams of one to three token ids of every document, written once for all queries that fit on them."""
+    rows = t.texts("doc_id", "text")
+
+    def make():
+        ids = f.encode_column(rows, "text", vocabulary.merges_of(learnt(t)), 2048)
+        return ids.select("doc_id", F.inline(vocabulary.ngram_counts(F.col("input_ids"), 1, 3)))
+
+    return kept(t.spark, "token-terms", content_key(rows, "doc_id", "text"), make)
 
 
 def text_model(t: Testbed):
@@ -129,7 +139,8 @@ def logreg_score(t: Testbed):
 @query("top_coefficients")
 def top_coefficients(t: Testbed):
     model, terms, _ = text_model(t)
-    return rounded(ml.top_coefficients(ml.coefficient_table(model, terms), 30), "coefficient", "odds_ratio", places=4)
+    named = ml.coefficient_table(model, terms).withColumn("term", vocabulary.ngram_ids(F.col("term")))
+    return rounded(ml.top_coefficients(named, 30), "coefficient", "odds_ratio", places=4)
 
 
 @query("feature_space")

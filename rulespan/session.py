@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def build_session(master: str | None = None, app: str = "rulespan", **conf: str) -> SparkSession:
@@ -54,3 +56,30 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder that every executor can reach, for tables a job writes and reads back."""
     return f"{_shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def kept(spark: SparkSession, name: str, key: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table ``name`` for ``key`` (what it was made from), written to the shared folder the first time it is asked for.
+
+    It is written aside and moved into place when complete, so a lost writer leaves nothing that could be read.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{_shared_root(spark)}/{name}-{key}")
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        aside = shared_folder(spark, name)
+        make().write.parquet(aside)
+        files.rename(spark._jvm.org.apache.hadoop.fs.Path(aside), path)
+    return spark.read.parquet(path.toString())
+
+
+def content_key(df: DataFrame, *of: str) -> str:
+    """A key of the rows of a table, in any order: their number and the sum of their digests."""
+    digest = F.xxhash64(*[F.col(c) for c in of])
+    row = df.select(digest.alias("d")).agg(F.count("*").alias("n"), F.sum(F.col("d").cast("decimal(20,0)")).alias("s")).first()
+    return hashlib.sha256(f"{row['n']}:{row['s']}:{','.join(of)}".encode()).hexdigest()[:32]
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """A folder of the shared root deleted, its reader being done."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

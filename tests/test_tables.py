@@ -61,50 +61,6 @@ def test_structural_targets(spark):
     assert tuple(rows[0]) == (True,) * 8 + ("4+",) and tuple(rows[1]) == (False,) * 8 + ("1",)
 
 
-def test_vocabulary_and_encoding(spark):
-    df = spark.createDataFrame([("a", "low lower lowest"), ("b", "low 新しい"), ("c", "")], "id string, v string")
-    merges = f.bpe_merges(f.pretoken_frequency(df, "v"), 20, min_frequency=2)
-    assert merges[0] in {("6C", "6F"), ("6F", "77")} and len(set(merges)) == len(merges)
-    vocab = f.vocabulary(spark, merges)
-    assert vocab.count() == 5 + 256 + len(merges)
-    rows = {r.id: r for r in f.encode_column(df, "v", merges, 3).collect()}
-    assert rows["c"].token_count_full == 0 and rows["a"].truncated and rows["a"].token_count == 3
-    back = {r.id: r.token for r in vocab.collect()}
-    text = bytes.fromhex("".join(back[i] for i in f_ids(f, df, merges, "b"))).decode()
-    assert text == "low 新しい"
-
-
-def test_queries_learn_the_whole_vocabulary(spark):
-    from rulespan.plans import registry
-
-    rows = registry.QUERIES["bpe_merges"](spark, "/root/testdata/sf0.001")
-    assert rows.agg({"id": "max"}).first()[0] == 7_999 and rows.count() == 8_000 - 256 - 5
-
-
-def test_classifier_terms_are_token_ngrams(spark, monkeypatch):
-    from rulespan.plans import q_features as q
-    from rulespan.plans.testbed import Testbed
-
-    merges = q._merges
-    monkeypatch.setattr(q, "_merges", lambda t: merges(t, 50))
-    t = Testbed(spark, "/root/testdata/sf0.001")
-    counts = q.token_terms(t)
-    sizes = counts.select(F.size(F.split("term", " ")).alias("n"), F.col("term").rlike("^[0-9 ]+$").alias("ids")).distinct().collect()
-    assert {(r.n, r.ids) for r in sizes} == {(1, True), (2, True), (3, True)}
-    monkeypatch.setattr(q, "token_terms", lambda t: counts)
-    assert q.top_coefficients(t).filter(F.size(F.split("term", " ")) > 1).count() > 0
-
-
-def test_rare_pairs_wait_for_those_a_round_makes(spark):
-    # "xy" touches no other pair but is rarer than "ab" with "c", which the first round makes.
-    df = spark.createDataFrame([("abc", 90), ("xy", 20)], "pretoken string, frequency bigint")
-    assert f.bpe_merges(df, 3) == [("61", "62"), ("6162", "63"), ("78", "79")]
-
-
-def f_ids(f, df, merges, key):
-    return f.encode_column(df, "v", merges, 10_000).filter(F.col("id") == key).first().input_ids
-
-
 def test_tfidf_rows_have_unit_norm(spark):
     df = spark.createDataFrame([(1, "a b b"), (2, "a c"), (3, "b c c c")], "id int, v string")
     counts = f.term_counts(df, "id", F.split("v", " "))
