@@ -148,7 +148,8 @@ def _within(a: str, b: str) -> Column:
 def links(table: DataFrame) -> DataFrame:
     """(a, b), a > b: every pair of different fingerprints at most ``MOST`` bits apart, possibly more than once."""
     names = {WHOLE: 0}
-    members = table.select("fp", "d", "c", F.lit(0).cast("bigint").alias("cell"), F.lit(0).alias("state"))
+    # Not a literal, so that the rules are joined by a key.
+    members = table.select("fp", "d", "c", F.lit(0).cast("bigint").alias("cell"), F.col("c").bitwiseAND(F.lit(0)).cast("int").alias("state"))
     found = None
     while True:
         cells = stored(_divided(members, names), "cells")
