@@ -6,11 +6,20 @@ Everything starts from one compact table: per key and distinct score the number
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
-from rulespan.operators.ranking import null_safe_join, running_totals, score_bucket, score_rank
+from rulespan.functions.text import bound_once
+from rulespan.operators.ranking import null_safe_join, ordered_totals, ranged, score_rank
+from rulespan.session import checkpointed
+
+# The small task-side helpers of this module travel with the query.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Coverages, list lengths and bins the result tables are reported for.
 COVERAGES = (0.1, 0.2, 0.5, 1.0)
@@ -18,6 +27,9 @@ CURVE_COVERAGES = tuple(round(0.05 * i, 2) for i in range(1, 21))
 TOP_K = (100, 500, 1000, 2000)
 BINS = 10
 
+#: Rows whose bootstrap weights a task holds at once.
+BLOCK_ROWS = 4096
+
 
 def _ratio(a: Column, b: Column) -> Column:
     """a / b, null when b is 0."""
@@ -40,13 +52,7 @@ def score_counts(
 
 def curve(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Per distinct score: true and false positives when everything at or above the score is selected."""
-    return running_totals(
-        counts,
-        keys,
-        [[(score_bucket(F.col("score")), False)]],
-        [F.col("score").desc()],
-        {"tp": F.col("pos"), "fp": F.col("neg")},
-    )
+    return ordered_totals(counts, keys, [F.col("score").desc()], {"tp": F.col("pos"), "fp": F.col("neg")})
 
 
 def area_metrics(points: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -221,27 +227,16 @@ def selective(
     """
     p, y = F.col(score), F.col(label)
     confidence = F.abs(p - 0.5) if rounding == "ceil" else F.greatest(p, 1 - p)
-    spread = (F.lit(2.0) * confidence) if rounding == "ceil" else (confidence * 2 - 1)
     rows = df.select(
         *keys,
         tie,
         confidence.alias("_c"),
-        spread.alias("_spread"),
         F.when((p >= 0.5) == (y == 1), 1).otherwise(0).alias("_ok"),
         F.when(p >= 0.5, 1).otherwise(0).alias("_hit"),
         y.alias("_y"),
     )
-    ranked = running_totals(
-        rows,
-        keys,
-        [
-            [(score_bucket(F.col("_spread")), False)],
-            [(F.col("_c"), False), (F.substring(tie, 1, 2), True)],
-        ],
-        [F.col("_c").desc(), F.col(tie).asc()],
-        {"_position": F.lit(1).cast("bigint")},
-    )
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+    ranked = ordered_totals(rows, keys, [F.col("_c").desc(), F.col(tie).asc()], {"_position": F.lit(1).cast("bigint")})
+    sizes = ranked.groupBy(*keys).agg(F.count("*").alias("_n"))
     wanted = [
         F.greatest(
             F.lit(1), (F.ceil(F.col("_n") * c) if rounding == "ceil" else F.bround(F.col("_n") * c)).cast("bigint")
@@ -319,14 +314,169 @@ POISSON_ONE = (
 )
 
 
-def poisson_weight(seed: int, rep: Column, group: Column) -> Column:
-    """Poisson(1) weight of a group in a replicate, from a hash; the group keeps its weight on every executor."""
-    bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), rep, group), 12)
-    share = bits / F.lit(float(2**52))
-    out = F.when(share <= POISSON_ONE[0], 0)
-    for weight, upto in enumerate(POISSON_ONE[1:], start=1):
-        out = out.when(share <= upto, weight)
-    return out.otherwise(len(POISSON_ONE))
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """Bits of unsigned 64-bit numbers spread over all places."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def poisson_weights(groups: np.ndarray, reps: int) -> np.ndarray:
+    """Poisson(1) weights, one row a group (given by its 64-bit hash), one column a replicate: the same on any executor."""
+    step = np.arange(1, reps + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    share = (_mixed(groups.astype(np.int64).view(np.uint64)[:, None] + step) >> np.uint64(11)) / float(1 << 53)
+    return np.searchsorted(POISSON_ONE, share, side="left")
+
+
+def _score_blocks(pdf: pd.DataFrame, reps: int, rows: int):
+    """(scores, weighted positives, weighted negatives) of whole scores from the highest down, a bounded block at a time."""
+    pdf = pdf.sort_values("score", ascending=False, kind="stable")
+    score, h = pdf["score"].to_numpy(), pdf["_h"].to_numpy()
+    pos, neg = (pdf[c].to_numpy(dtype=np.float64) for c in ("pos", "neg"))
+    held = None
+    for a in range(0, len(score), rows):
+        z = min(a + rows, len(score))
+        w = poisson_weights(h[a:z], reps)
+        first = np.flatnonzero(np.r_[True, score[a + 1 : z] != score[a : z - 1]])
+        block = [score[a:z][first], *(np.add.reduceat(w * side[a:z, None], first, axis=0) for side in (pos, neg))]
+        if held is not None:
+            if held[0][0] == block[0][0]:
+                block[1][0] += held[1][0]
+                block[2][0] += held[2][0]
+            else:
+                yield held
+        if len(first) > 1:
+            yield [x[:-1] for x in block]
+        held = [x[-1:] for x in block]
+    if held is not None:
+        yield held
+
+
+def _pieces(pdf: pd.DataFrame, reps: int, rows: int):
+    """A part's first score, the scores between, and its last one, each as (score, positives, negatives)."""
+    first, between, last = None, None, None
+    for block in _score_blocks(pdf, reps, rows):
+        if first is None:
+            first, block = [x[0] for x in block], [x[1:] for x in block]
+        if len(block[0]):
+            pos, neg = block[1][:-1].sum(0), block[2][:-1].sum(0)
+            if last is not None:
+                pos, neg = pos + last[1], neg + last[2]
+            if last is not None or len(block[0]) > 1:
+                between = [np.nan, pos, neg] if between is None else [np.nan, between[1] + pos, between[2] + neg]
+            last = [x[-1] for x in block]
+    return first, between, last
+
+
+class _Areas:
+    """Sums behind AUROC and average precision of all replicates, score by score from the highest down."""
+
+    def __init__(self, tp: np.ndarray, fp: np.ndarray):
+        self.tp, self.fp, self.misordered, self.precision = tp.copy(), fp.copy(), np.zeros(len(tp)), np.zeros(len(tp))
+
+    def add(self, pos: np.ndarray, neg: np.ndarray) -> None:
+        tp, fp = self.tp + np.cumsum(pos, axis=0), self.fp + np.cumsum(neg, axis=0)
+        self.misordered += (pos * (fp - neg / 2)).sum(0)
+        self.precision += (pos * np.divide(tp, tp + fp, out=np.zeros_like(tp), where=tp + fp > 0)).sum(0)
+        self.tp, self.fp = tp[-1], fp[-1]
+
+
+_SUMS = "_key string, misordered array<double>, precision array<double>, pos array<double>, neg array<double>"
+
+
+def bootstrap_replicates(
+    df: DataFrame,
+    keys: Sequence[str],
+    group: str = "base_key",
+    reps: int = 300,
+    seed: int = 42,
+    label: str = "label",
+    score: str = "p_pred",
+) -> DataFrame:
+    """Arrays of AUROC and average precision over the replicates of a group bootstrap, per key.
+
+    Rows are counted per (key, score, group) and dealt out by score. A part sums its first score, its last one and those
+    between, each as one array over all replicates; folding these in order gives what lies above each part and the areas
+    at scores that reach over an edge. With that carried in, each part adds the areas of its inner scores. No row is
+    copied for a replicate and no score has to fit in one task.
+    """
+    rows = BLOCK_ROWS
+    base = df.filter(F.col(score).isNotNull()).select(
+        F.to_json(F.struct(*keys)).alias("_key") if keys else F.lit("{}").alias("_key"),
+        F.xxhash64(F.lit(seed), F.coalesce(F.col(group).cast("string"), F.lit("__missing__"))).alias("_h"),
+        F.col(score).cast("double").alias("score"),
+        F.col(label).alias("_y"),
+    )
+    counts = base.groupBy("_key", "score", "_h").agg(F.sum("_y").alias("pos"), F.sum(1 - F.col("_y")).alias("neg"))
+    placed = ranged(counts, ["_key"], [F.col("score").desc(), F.col("_h").asc()])
+
+    def summed(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for slot, piece in enumerate(_pieces(pdf, reps, rows)):
+            if piece is not None:
+                out.append((pdf["_key"].iloc[0], pdf["_part"].iloc[0], slot, float(piece[0]), piece[1], piece[2]))
+        return pd.DataFrame(out, columns=["_key", "_part", "slot", "score", "pos", "neg"])
+
+    pieces = checkpointed(placed.groupBy("_key", "_part").applyInPandas(summed, "_key string, _part int, slot int, score double, pos array<double>, neg array<double>"))
+
+    def carried(pdf: pd.DataFrame) -> pd.DataFrame:
+        """What lies above the inner scores of each part; the last row holds the areas of all other scores, and the totals."""
+        pieces = pdf.sort_values(["_part", "slot"]).to_dict("records")
+        areas, held, out = _Areas(np.zeros(reps), np.zeros(reps)), None, []
+        key = pieces[0]["_key"]
+        for r in pieces:
+            pos, neg = np.asarray(r["pos"]), np.asarray(r["neg"])
+            if held is not None and (r["slot"] == 1 or r["score"] != held[0]):
+                areas.add(held[1][None], held[2][None])
+                held = None
+            if r["slot"] == 1:
+                out.append((key, r["_part"], areas.tp, areas.fp, None, None))
+                areas.tp, areas.fp = areas.tp + pos, areas.fp + neg
+            else:
+                held = (r["score"], pos, neg) if held is None else (held[0], held[1] + pos, held[2] + neg)
+        if held is not None:
+            areas.add(held[1][None], held[2][None])
+        out.append((key, None, areas.tp, areas.fp, areas.misordered, areas.precision))
+        return pd.DataFrame(out, columns=["_key", "_part", "pos", "neg", "misordered", "precision"]).astype({"_part": "Int64"})
+
+    folded = checkpointed(pieces.groupBy("_key").applyInPandas(carried, "_key string, _part int, pos array<double>, neg array<double>, misordered array<double>, precision array<double>"))
+
+    def inner(pdf: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf) or not len(above):
+            return pd.DataFrame([], columns=["_key", "misordered", "precision", "pos", "neg"])
+        areas, edges = _Areas(np.asarray(above["pos"].iloc[0]), np.asarray(above["neg"].iloc[0])), (pdf["score"].max(), pdf["score"].min())
+        for scores, pos, neg in _score_blocks(pdf, reps, rows):
+            mine = (scores != edges[0]) & (scores != edges[1])
+            if mine.any():
+                areas.add(pos[mine], neg[mine])
+        none = np.zeros(reps)
+        return pd.DataFrame([(pdf["_key"].iloc[0], areas.misordered, areas.precision, none, none)], columns=["_key", "misordered", "precision", "pos", "neg"])
+
+    above = folded.filter("_part IS NOT NULL")
+    parts = placed.groupBy("_key", "_part").cogroup(above.groupBy("_key", "_part")).applyInPandas(inner, _SUMS)
+    edges = folded.filter("_part IS NULL").select("_key", "misordered", "precision", "pos", "neg")
+
+    def areas(pdf: pd.DataFrame) -> pd.DataFrame:
+        misordered, precision, pos, neg = (np.sum(np.stack(pdf[c].to_list()), axis=0) for c in ("misordered", "precision", "pos", "neg"))
+        both = (pos > 0) & (neg > 0)
+        row = (pdf["_key"].iloc[0], 1 - misordered[both] / (pos * neg)[both], precision[both] / pos[both])
+        return pd.DataFrame([row], columns=["_key", "auroc", "auprc"])
+
+    done = edges.unionByName(parts).groupBy("_key").applyInPandas(areas, "_key string, auroc array<double>, auprc array<double>")
+    if not keys:
+        return done.drop("_key")
+    return done.select(F.from_json("_key", df.select(*keys).schema).alias("_of"), "auroc", "auprc").select("_of.*", "auroc", "auprc")
+
+
+def _quantile(values: Column, q: float) -> Column:
+    """Linearly interpolated quantile of an array."""
+
+    def of(v: Column) -> Column:
+        at = (F.size(v) - 1) * F.lit(q)
+        low, high = F.get(v, F.floor(at).cast("int")), F.get(v, F.ceil(at).cast("int"))
+        return low + (high - low) * (at - F.floor(at))
+
+    return bound_once(F.array_sort(values), of)
 
 
 def bootstrap_ci(
@@ -341,36 +491,13 @@ def bootstrap_ci(
     """Group bootstrap intervals of AUROC and average precision.
 
     Deviation: groups get Poisson(1) weights instead of multinomial draws, so every row is weighted where it is.
-    Rows are first counted per (key, group, score); only those counts are replicated.
+    Replicates without both classes are left out.
     """
-    base = df.groupBy(*keys, F.coalesce(F.col(group), F.lit("__missing__")).alias("_g"), F.col(score).alias("score")).agg(
-        F.sum(label).alias("pos"), F.sum(1 - F.col(label)).alias("neg")
-    )
-    weighted = (
-        base.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
-        .withColumn("_w", poisson_weight(seed, F.col("rep"), F.col("_g")))
-        .filter(F.col("_w") > 0)
-        .groupBy(*keys, "rep", "score")
-        .agg(F.sum(F.col("_w") * F.col("pos")).alias("pos"), F.sum(F.col("_w") * F.col("neg")).alias("neg"))
-    )
-    per_rep = area_metrics(curve(weighted, [*keys, "rep"]), [*keys, "rep"]).filter(F.col("auroc").isNotNull())
-    cut = F.array(F.lit(0.025), F.lit(0.975))
-    bounds = (
-        per_rep.groupBy(*keys)
-        .agg(
-            F.count("*").alias("reps_used"),
-            F.percentile("auroc", cut).alias("_a"),
-            F.percentile("auprc", cut).alias("_p"),
-        )
-        .select(
-            *keys,
-            F.lit(reps).alias("reps_requested"),
-            "reps_used",
-            F.col("_a")[0].alias("auroc_ci_low"),
-            F.col("_a")[1].alias("auroc_ci_high"),
-            F.col("_p")[0].alias("auprc_ci_low"),
-            F.col("_p")[1].alias("auprc_ci_high"),
-        )
+    bounds = bootstrap_replicates(df, keys, group, reps, seed, label, score).select(
+        *keys,
+        F.lit(reps).alias("reps_requested"),
+        F.size("auroc").cast("bigint").alias("reps_used"),
+        *[_quantile(F.col(c), q).alias(f"{c}_ci_{end}") for c in ("auroc", "auprc") for end, q in (("low", 0.025), ("high", 0.975))],
     )
     point = area_metrics(curve(score_counts(df, keys, label, score), keys), keys)
     return null_safe_join(point, bounds, keys, "left")
@@ -385,9 +512,7 @@ def spearman(df: DataFrame, models: Sequence[str]) -> DataFrame:
         "prompt_id", F.explode(F.array(*[F.struct(F.lit(m).alias("m"), F.col(m).alias("s")) for m in models])).alias("v")
     ).select("prompt_id", "v.*")
     counts = long.groupBy("m", "s").agg(F.count("*").alias("n"))
-    upto = running_totals(
-        counts, ["m"], [[(score_bucket(F.col("s")), True)]], [F.col("s").asc()], {"below": F.col("n")}
-    )
+    upto = ordered_totals(counts, ["m"], [F.col("s").asc()], {"below": F.col("n")})
     ranks = upto.select("m", "s", (F.col("below") - (F.col("n") - 1) / 2).alias("r"))
     wide = long.join(ranks, ["m", "s"]).groupBy("prompt_id").pivot("m", list(models)).agg(F.first("r"))
     pairs = [(a, b) for a in models for b in models]

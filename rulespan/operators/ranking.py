@@ -1,8 +1,10 @@
 """Order-dependent operators that never sort a whole group in one task.
 
-A running total over a large group is split by a bucket that follows the sort order: bucket totals are summed over
-the small bucket table, and only rows of one bucket are sorted together. Bucket functions are pure functions of the
-sort columns, so a lost executor recomputes the same buckets.
+A running total over a large group is split into parts that follow the sort order: totals of the parts are summed over
+a small table, and only rows of one part are sorted together. Two ways give the parts. In digest order they are prefixes
+of the digest, evenly filled and pure functions of the row (``running_totals``). In the order of values, whose
+distribution is unknown, Spark samples the sort columns and deals the rows out by range; they are written once with
+their part, so every later step and every recomputation reads the same parts (``ordered_totals``).
 """
 
 from __future__ import annotations
@@ -12,8 +14,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-SCORE_BUCKETS = 4096
-
+from rulespan.session import shared_folder
 
 def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join that also matches null keys; the key columns of the left side stay."""
@@ -22,11 +23,6 @@ def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: st
     return left.join(renamed, condition, how).drop(*[f"_r_{c}" for c in on])
 
 
-def score_bucket(score: Column) -> Column:
-    """Bucket of a score in [0, 1]; scores outside fall in the edge buckets."""
-    return F.floor(F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0)) * SCORE_BUCKETS).cast("int")
-
-
 def hex_bucket(digest: Column, digits: int = 3) -> Column:
     """Leading digits of a hex digest: evenly filled buckets in digest order."""
     return F.substring(digest, 1, digits)
@@ -37,6 +33,14 @@ def seeded_digest(seed: int, key: Column) -> Column:
     return F.sha2(F.concat(F.lit(f"{seed}:"), key.cast("string")), 256)
 
 
+def _after_carry(rows: DataFrame, carry: DataFrame | None) -> DataFrame:
+    """Rows of a part behind one row that carries the total of all earlier parts."""
+    rows = rows.withColumn("_late", F.lit(1))
+    if carry is None:
+        return rows
+    return rows.unionByName(carry.withColumn("_late", F.lit(0)), allowMissingColumns=True)
+
+
 def running_totals(
     df: DataFrame,
     keys: Sequence[str],
@@ -53,13 +57,6 @@ def running_totals(
     parts = {f"_s_{n}": c for n, c in sums.items()}
     work = df.withColumns({**{n: c for level in named for n, c, _ in level}, **parts})
 
-    def after_carry(rows: DataFrame, carry: DataFrame | None) -> DataFrame:
-        """Rows of a bucket behind one row that carries the total of all earlier buckets."""
-        rows = rows.withColumn("_late", F.lit(1))
-        if carry is None:
-            return rows
-        return rows.unionByName(carry.withColumn("_late", F.lit(0)), allowMissingColumns=True)
-
     carry, path = None, list(keys)
     for level in named:
         coarse, path = path, path + [n for n, _, _ in level]
@@ -70,7 +67,7 @@ def running_totals(
             .rowsBetween(Window.unboundedPreceding, -1)
         )
         carry = (
-            after_carry(totals, carry)
+            _after_carry(totals, carry)
             .select(*path, "_late", *[F.coalesce(F.sum(p).over(before), F.lit(0)).alias(p) for p in parts])
             .filter(F.col("_late") == 1)
             .drop("_late")
@@ -79,7 +76,31 @@ def running_totals(
         Window.partitionBy(*path).orderBy("_late", *order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return (
-        after_carry(work, carry)
+        _after_carry(work, carry)
+        .withColumns({n: F.sum(f"_s_{n}").over(inside) for n in sums})
+        .filter(F.col("_late") == 1)
+        .select(*df.columns, *sums)
+    )
+
+
+def ranged(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """The rows with ``_part``, ascending in ``keys`` and ``order``: parts of about equal size, written once."""
+    spark, path = df.sparkSession, shared_folder(df.sparkSession, "ranges")
+    parted = df.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn("_part", F.spark_partition_id())
+    parted.write.parquet(path)
+    return spark.read.schema(parted.schema).parquet(path)
+
+
+def ordered_totals(df: DataFrame, keys: Sequence[str], order: Sequence[Column], sums: dict[str, Column]) -> DataFrame:
+    """``running_totals`` in the order of values, however they are distributed. The input is computed once."""
+    parts = {f"_s_{n}": c for n, c in sums.items()}
+    placed = ranged(df.withColumns(parts), keys, order)
+    totals = placed.groupBy(*keys, "_part").agg(*[F.sum(p).alias(p) for p in parts])
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carry = totals.select(*keys, "_part", *[F.coalesce(F.sum(p).over(before), F.lit(0)).alias(p) for p in parts])
+    inside = Window.partitionBy(*keys, "_part").orderBy("_late", *order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (
+        _after_carry(placed, carry)
         .withColumns({n: F.sum(f"_s_{n}").over(inside) for n in sums})
         .filter(F.col("_late") == 1)
         .select(*df.columns, *sums)
@@ -104,15 +125,8 @@ def hash_rank(
 def score_rank(
     df: DataFrame, keys: Sequence[str], score: str, tie: str = "prompt_id", name: str = "position"
 ) -> DataFrame:
-    """1-based position by score descending, ties by ``tie`` ascending (a hex id). Heavy ties are split by id prefix."""
-    s, t = F.col(score), F.col(tie)
-    return running_totals(
-        df,
-        keys,
-        [[(score_bucket(s), False)], [(s, False), (hex_bucket(t, 2), True)]],
-        [s.desc(), t.asc()],
-        {name: F.lit(1).cast("bigint")},
-    )
+    """1-based position by score descending, ties by ``tie`` ascending; rows of one score are dealt out by ``tie``."""
+    return ordered_totals(df, keys, [F.col(score).desc(), F.col(tie).asc()], {name: F.lit(1).cast("bigint")})
 
 
 def dense_index(df: DataFrame, key: str = "prompt_id", name: str = "row_index") -> DataFrame:

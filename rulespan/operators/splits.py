@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rulespan.operators.joins import ids_within
-from rulespan.operators.ranking import group_mode, hash_rank, running_totals, score_bucket
+from rulespan.operators.ranking import group_mode, hash_rank, ordered_totals
 from rulespan.operators.profile import id_frequency
 from rulespan.session import checkpointed
 
@@ -57,13 +57,7 @@ def quotas(counts: DataFrame, label: str, total: int, wanted: int) -> DataFrame:
     base, rest = F.floor(product / F.lit(total)).cast("bigint"), (product % F.lit(total)).cast("bigint")
     shares = counts.select(label, base.alias("_base"), rest.alias("_rest"))
     given = shares.agg(F.coalesce(F.sum("_base"), F.lit(0))).scalar()
-    ordered = running_totals(
-        shares,
-        [],
-        [[(score_bucket(F.col("_rest") / F.lit(float(max(total, 1)))), False)]],
-        [F.col("_rest").desc(), F.col(label)],
-        {"_place": F.lit(1).cast("bigint")},
-    )
+    ordered = ordered_totals(shares, [], [F.col("_rest").desc(), F.col(label).asc()], {"_place": F.lit(1).cast("bigint")})
     extra = F.when(F.col("_place") <= wanted - given, 1).otherwise(0)
     return ordered.select(label, (F.col("_base") + extra).alias("quota"))
 

@@ -381,7 +381,7 @@ def bootstrap_ci(t: Testbed):
     rows = t.predictions().filter((F.col("split") == "test") & F.col("model_family").isin("tiny", "frozen"))
     keys = ["model_family", "train_size_label", "seed"]
     return rounded(
-        m.bootstrap_ci(rows, keys, reps=100), "auroc", "auprc", "auroc_ci_low", "auroc_ci_high", "auprc_ci_low", "auprc_ci_high"
+        m.bootstrap_ci(rows, keys), "auroc", "auprc", "auroc_ci_low", "auroc_ci_high", "auprc_ci_low", "auprc_ci_high"
     )
 
 
