@@ -6,34 +6,49 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from rulespan.operators.ranking import hash_rank, hex_bucket, null_safe_join, running_totals, seeded_digest
+from rulespan.operators.ranking import hash_rank, hex_bucket, null_safe_join, ordered_totals, running_totals, seeded_digest
+from rulespan.session import checkpointed
+
+
+def _layers(excess: dict[int, int], gap: int) -> tuple[int, int]:
+    """(whole layers, units left over) when ``gap`` units are cut one layer after the other.
+
+    ``excess``: how many clusters can give how many units. Layer j takes one unit of every cluster that has j to give.
+    """
+    level, giving = 0, sum(c for e, c in excess.items() if e > 0)
+    for e in sorted(x for x in excess if x > 0):
+        if (e - level) * giving > gap:
+            return level + gap // giving, gap % giving
+        gap -= (e - level) * giving
+        level, giving = e, giving - excess[e]
+    return level, 0
 
 
 def allocate_sqrt(counts: DataFrame, cluster: str, size: int) -> DataFrame:
     """Rows to draw per cluster: proportional to the square root of its size, at least 1, exact in total.
 
-    ``counts`` holds one row per cluster (``n`` rows each). Corrections are single units, ordered the way a greedy
-    loop would take them.
+    ``counts`` holds one row per cluster (``n`` rows each), and is written once with its shares. Missing units go to the
+    largest remainders. Surplus units are cut like water down to a common level: shares were rounded down, so a greedy
+    loop takes one unit of every cluster that has one left before it takes a second of any. The level follows from how
+    many clusters have which share (a table as short as there are different shares), and only the units at the level
+    are put in order. Fewer rows than clusters: one each.
     """
-    every = Window.partitionBy(F.lit(1))
-    raw = F.sqrt("n") / F.sum(F.sqrt("n")).over(every) * size
-    first = counts.withColumn("_raw", raw).withColumn("_a", F.greatest(F.floor("_raw"), F.lit(1)).cast("bigint"))
-    gap = first.agg(F.lit(size) - F.sum("_a")).scalar()
-    more = F.explode(F.sequence(F.lit(1), F.greatest(gap, F.lit(1)).cast("int")))
-    fewer = F.explode(F.sequence(F.lit(1), (F.col("_a") - 1).cast("int")))
-    add = first.select(cluster, "_raw", "_a", more.alias("_j")).select(
-        cluster, F.lit(1).alias("_step"), (F.col("_raw") - F.col("_a") - (F.col("_j") - 1)).alias("_v")
-    ).filter(gap > 0)
-    cut = first.filter(F.col("_a") > 1).select(cluster, "_raw", "_a", fewer.alias("_j")).select(
-        cluster, F.lit(-1).alias("_step"), (F.col("_a") - F.col("_raw") - (F.col("_j") - 1)).alias("_v")
-    ).filter(gap < 0)
-    units = add.unionByName(cut).orderBy(F.col("_v").desc(), cluster)
-    place = F.row_number().over(Window.orderBy(F.col("_v").desc(), F.col(cluster)))
-    steps = units.withColumn("_place", place).filter(F.col("_place") <= F.abs(gap)).groupBy(cluster).agg(
-        F.sum("_step").alias("_steps")
-    )
-    return null_safe_join(first, steps, [cluster], "left").select(
-        cluster, "n", (F.col("_a") + F.coalesce("_steps", F.lit(0))).alias("allocation")
+    weight = counts.agg(F.sum(F.sqrt("n"))).first()[0]
+    if not weight:
+        return counts.select(cluster, "n", F.lit(0).cast("bigint").alias("allocation"))
+    raw = F.sqrt("n") / F.lit(weight) * size
+    first = checkpointed(counts.withColumn("_raw", raw).withColumn("_a", F.greatest(F.floor("_raw"), F.lit(1)).cast("bigint")))
+    shares = {r["_a"] - 1: r["c"] for r in first.groupBy("_a").agg(F.count("*").alias("c")).collect()}
+    gap = size - sum((e + 1) * c for e, c in shares.items())
+    layers, units = (0, gap) if gap >= 0 else _layers(shares, -gap)
+    sign = 1 if gap >= 0 else -1
+    able = first if gap >= 0 else first.filter(F.col("_a") - 1 > layers)
+    lacking = (F.col("_raw") - F.col("_a")) * sign
+    placed = ordered_totals(able.select(cluster, lacking.alias("_v")), [], [F.col("_v").desc(), F.col(cluster).asc()], {"_place": F.lit(1).cast("bigint")})
+    more = placed.filter(F.col("_place") <= units).select(cluster, F.lit(sign).alias("_unit"))
+    level = F.least(F.col("_a") - 1, F.lit(layers))
+    return null_safe_join(first, more, [cluster], "left").select(
+        cluster, "n", (F.col("_a") - level + F.coalesce("_unit", F.lit(0))).alias("allocation")
     )
 
 
@@ -67,10 +82,7 @@ def chunk_sample(df: DataFrame, allocation: DataFrame, cluster: str, seed: int)
 
 
 def cluster_length_sample(df: DataFrame, size: int, seed: int, cluster: str = "cluster") -> DataFrame:
-    """Chunk sample over all clusters plus the shortest and longest prompt, trimmed evenly to ``size`` and shuffled.
-
-    Windows after the draw run over the sample only (``size`` + 2 rows).
-    """
+    """Chunk sample over all clusters plus the shortest and longest prompt, trimmed evenly to ``size`` and shuffled."""
     counts = df.groupBy(cluster).agg(F.count("*").alias("n"))
     drawn = chunk_sample(df, allocate_sqrt(counts, cluster, size), cluster, seed)
     ends = df.agg(
@@ -82,22 +94,24 @@ def cluster_length_sample(df: DataFrame, size: int, seed: int, cluster: str = "c
     merged = both.groupBy("prompt_id").agg(
         F.max_by(F.struct(*[c for c in both.columns if c != "prompt_id"]), "_keep").alias("_row")
     ).select("prompt_id", "_row.*")
-    order = [F.col(cluster), F.col("prompt_tokens"), F.col("prompt_id")]
-    every = Window.partitionBy(F.lit(1))
-    counted = merged.withColumns(
-        {
-            "_over": F.greatest(F.count("*").over(every) - size, F.lit(0)),
-            "_m": F.count_if(F.col("_keep") == 0).over(every),
-            "_at": F.sum(1 - F.col("_keep")).over(every.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) - 1,
-        }
-    )
-    steps = F.transform(
-        F.sequence(F.lit(0), F.greatest(F.col("_over") - 1, F.lit(0))),
-        lambda i: F.floor(i * F.coalesce(F.try_divide(F.col("_m") - 1, F.col("_over") - 1), F.lit(0.0))),
-    )
-    dropped = (F.col("_over") > 0) & (F.col("_keep") == 0) & F.array_contains(steps, F.col("_at"))
-    position = F.row_number().over(Window.orderBy(seeded_digest(seed, F.col("prompt_id")), "prompt_id"))
-    return counted.filter(~dropped).select(*df.columns).withColumn("position", position)
+    merged = checkpointed(merged)
+    rows, drawn_rows = merged.agg(F.count("*"), F.count_if(F.col("_keep") == 0)).first()
+    over = max(rows - size, 0)
+    order = [F.col(cluster).asc(), F.col("prompt_tokens").asc(), F.col("prompt_id").asc()]
+    placed = ordered_totals(merged, [], order, {"_at": 1 - F.col("_keep")}).withColumn("_at", F.col("_at") - 1)
+    # The i-th row to drop lies at floor(i * step); a row is one of them if the next whole i that reaches it does.
+    step = (drawn_rows - 1) / (over - 1) if over > 1 else 0.0
+    if over == 0:
+        dropped = F.lit(False)
+    elif step == 0:
+        dropped = F.col("_at") == 0
+    else:
+        near = [F.floor(F.col("_at") / F.lit(step)) + d for d in (0, 1)]
+        dropped = F.lit(False)
+        for i in near:
+            dropped = dropped | ((i >= 0) & (i < over) & (F.floor(i * F.lit(step)) == F.col("_at")))
+    left = placed.filter(~((F.col("_keep") == 0) & dropped)).select(*df.columns)
+    return hash_rank(left, [], "prompt_id", seed, "position")
 
 
 def length_grid_sample(df: DataFrame, size: int) -> DataFrame:
@@ -128,13 +142,16 @@ def length_grid_sample(df: DataFrame, size: int) -> DataFrame:
     )
 
 
-def outcome_sample(df: DataFrame, size: int, seed: int, cluster: str = "cluster") -> DataFrame:
-    """Per cluster a mix of passed and failed rows: 20 passes (10 where passes are rare), at most half; then fails;
-    then more passes when fails run out."""
+def outcome_sample(
+    df: DataFrame, size: int, seed: int, cluster: str = "cluster", passes: int = 20, few_passes: int = 10,
+    rare_rate: float = 0.2, most_share: float = 0.5,
+) -> DataFrame:
+    """Per cluster a mix of passed and failed rows: ``passes`` (``few_passes`` where the pass rate is under ``rare_rate``),
+    at most ``most_share`` of the sample; then fails; then more passes when fails run out."""
     ok = F.col("checker_pass")
     c = df.groupBy(cluster).agg(F.count_if(ok).alias("_p"), F.count_if(~ok).alias("_f"))
-    target = F.when(F.col("_p") / (F.col("_p") + F.col("_f")) >= 0.2, 20).otherwise(10)
-    take = F.least(target, F.col("_p"), F.lit(size // 2))
+    target = F.when(F.col("_p") / (F.col("_p") + F.col("_f")) >= rare_rate, passes).otherwise(few_passes)
+    take = F.least(target, F.col("_p"), F.lit(int(size * most_share)))
     fails = F.least(size - F.col("_take"), F.col("_f"))
     extra = F.least(size - F.col("_take") - F.col("_fails"), F.col("_p") - F.col("_take"))
     caps = c.withColumn("_take", take).withColumn("_fails", fails).withColumn("_passes", F.col("_take") + extra)

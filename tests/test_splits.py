@@ -1,6 +1,8 @@
 """Invariants of splits and samples on small frames."""
 
 import hashlib
+import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -126,3 +128,25 @@ def test_one_single_row_stratum_leaves_the_others_stratified(spark):
     taken = sp.take_stratified(df, "strat_label", 7, 0.25).filter("taken").groupBy("strat_label").count().collect()
     counts = {r["strat_label"]: r["count"] for r in taken}
     assert abs(counts["a"] - 15) <= 1 and abs(counts["b"] - 10) <= 1 and sum(counts.values()) == 26
+
+
+def greedy_allocation(sizes, size):
+    """The loop: one unit at a time where the share is furthest off, ties by name."""
+    weight = sum(math.sqrt(n) for n in sizes.values())
+    raw = {c: math.sqrt(n) / weight * size for c, n in sizes.items()}
+    a = {c: max(math.floor(r), 1) for c, r in raw.items()}
+    while sum(a.values()) < size:
+        a[min(a, key=lambda c: (a[c] - raw[c], c))] += 1
+    while sum(a.values()) > size and max(a.values()) > 1:
+        a[min((c for c in a if a[c] > 1), key=lambda c: (raw[c] - a[c], c))] -= 1
+    return a
+
+
+@pytest.mark.parametrize("size", [3, 40, 55, 150, 1_000])
+def test_allocation_equals_a_greedy_loop(spark, size):
+    rnd = random.Random(size)
+    sizes = {f"c{i:02d}": rnd.choice([1, 1, 2, 3, 50, 400, 9_000]) for i in range(40)}
+    counts = spark.createDataFrame(list(sizes.items()), "cluster string, n bigint").repartition(3)
+    got = {r.cluster: r.allocation for r in s.allocate_sqrt(counts, "cluster", size).collect()}
+    assert got == greedy_allocation(sizes, size)
+    assert s.allocate_sqrt(counts.limit(0), "cluster", size).count() == 0

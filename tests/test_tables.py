@@ -1,6 +1,7 @@
 """Normalisation, masks, features, association statistics and table guards."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -64,7 +65,7 @@ def test_structural_targets(spark):
 def test_tfidf_rows_have_unit_norm(spark):
     df = spark.createDataFrame([(1, "a b b"), (2, "a c"), (3, "b c c c")], "id int, v string")
     counts = f.term_counts(df, "id", F.split("v", " "))
-    out = f.tfidf(counts, f.select_terms(counts, 3, 2), "id", 3, bounded=False)
+    out = f.tfidf(counts, f.select_terms(counts, 3, 2), "id", 3)
     norms = out.groupBy("id").agg(F.sum(F.col("weight") ** 2).alias("s")).collect()
     assert all(math.isclose(r.s, 1.0) for r in norms)
 
@@ -114,3 +115,19 @@ def test_json_and_literals_meet_in_one_form(spark):
     assert p[2].instruction_ids == ["x:y"] and p[3].instruction_ids == ["x", "None"]
     assert [p[i].parse_ok for i in range(9)] == [True] * 4 + [False] * 5
     assert p[4].parse_error.endswith("got tuple") and p[5].parse_error.endswith("got str") and p[6].parse_error == "'int' object is not iterable"
+
+
+def test_mask_of_a_long_text_with_many_quotes(spark):
+    """20,000 words with 2,000 quotes: each character looked up in all spans gives the same."""
+    rnd = random.Random(4)
+    words = [rnd.choice(["plain", "7th", "٣x", "naïve", "日本"]) for _ in range(20_000)]
+    for i in rnd.sample(range(20_000), 2_000):
+        words[i] = rnd.choice(['"', "“", "”", "‘", "’", "`", "「", "」"]) + words[i]
+    text = " ".join(words)
+    inside = [False] * len(text)
+    for a, b in f.quote_spans(text):
+        inside[a + 1 : b] = [True] * (b - a - 1)
+    want = [x or c.isdecimal() for x, c in zip(inside, text)]
+    rows = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, '""')], "i int, v string").select("i", f.quote_digit_mask(F.col("v")).alias("m")).collect()
+    got = {r.i: r.m for r in rows}
+    assert got == {1: want, 2: None, 3: [], 4: [False, False]} and any(want) and not all(want)
