@@ -35,7 +35,7 @@ SPECIAL_TOKENS = ("<unk>", "<pad>", "<s>", "</s>", "<mask>")
 BYTES = 256
 
 #: Pairs whose counts the driver holds at most, and merges guessed in one round.
-HOT, GUESSED = 200_000, 512
+HOT, GUESSED = 100_000, 512
 #: An epoch lasts while the best pair is at least this share of its first one.
 FLOOR = 16
 _NONE = np.int32(2**31 - 1)
@@ -246,27 +246,44 @@ def _segments(words: DataFrame, hot: np.ndarray) -> DataFrame:
 
 
 def _changes(segments: DataFrame, made: Steps, guess: Steps, hot: np.ndarray, floor: int) -> dict[int, list[tuple[int, int]]]:
-    """(pair, change of its count) by step of the guess, for hot pairs and for new ones that reach the floor."""
+    """(pair, change of its count) by step of the guess, for hot pairs and for new ones that reach the floor.
 
-    def run(batches):
+    One pass and one exchange: tasks add up what their segments report, then each pair's changes meet in one task.
+    """
+
+    def reported(batches):
+        logs: list = []
         for b in batches:
             log: list = []
             replayed(replayed(_read(b), made), guess, log)
-            if not log:
-                continue
-            step, key, n = (np.concatenate(x) for x in zip(*log))
-            new = ((key >> 32) >= guess.first) | ((key & 0xFFFFFFFF) >= guess.first)
-            found = np.minimum(np.searchsorted(hot, key), len(hot) - 1)
-            kept = new | (hot[found] == key)
-            (step, key), n = _summed(step[kept], key[kept], of=n[kept])
+            if log:
+                step, key, n = (np.concatenate(x) for x in zip(*log))
+                new = ((key >> 32) >= guess.first) | ((key & 0xFFFFFFFF) >= guess.first)
+                found = np.minimum(np.searchsorted(hot, key), len(hot) - 1)
+                kept = new | (hot[found] == key)
+                (step, key), n = _summed(step[kept], key[kept], of=n[kept])
+                logs.append((step, key, n))
+        if logs:
+            step, key, n = (np.concatenate(x) for x in zip(*logs))
+            (step, key), n = _summed(step, key, of=n)
             yield pa.RecordBatch.from_arrays([pa.array(step), pa.array(key), pa.array(n)], ["step", "key", "n"])
 
-    steps = segments.mapInArrow(run, "step int, key bigint, n bigint").groupBy("key", "step").agg(F.sum("n").alias("n")).filter("n <> 0")
-    whole = steps.groupBy("key").agg(F.sum(F.greatest("n", F.lit(0))).alias("gain"), F.collect_list(F.struct("step", "n")).alias("log"))
+    def added(batches):
+        logs = [[b.column(c).to_numpy(zero_copy_only=False) for c in ("step", "key", "n")] for b in batches]
+        if not logs:
+            return
+        step, key, n = (np.concatenate(x) for x in zip(*logs))
+        (step, key), n = _summed(step, key, of=n)
+        (pairs,), gain = _summed(key, of=np.maximum(n, 0))
+        gained = gain[np.searchsorted(pairs, key)]
+        kept = ((gained == 0) | (gained >= floor)) & (n != 0)
+        yield pa.RecordBatch.from_arrays([pa.array(step[kept]), pa.array(key[kept]), pa.array(n[kept])], ["step", "key", "n"])
+
+    schema = "step int, key bigint, n bigint"
+    found = segments.mapInArrow(reported, schema).repartition("key").mapInArrow(added, schema).toArrow()
     out: dict[int, list[tuple[int, int]]] = {}
-    for r in whole.filter((F.col("gain") == 0) | (F.col("gain") >= floor)).select("key", "log").collect():
-        for step, n in r["log"]:
-            out.setdefault(step, []).append((r["key"], n))
+    for step, key, n in zip(*(found.column(c).to_pylist() for c in ("step", "key", "n"))):
+        out.setdefault(step, []).append((key, n))
     return out
 
 
@@ -317,15 +334,16 @@ def learn(pretokens: DataFrame, merges: int, min_frequency: int = 2) -> list[Pai
     while len(learnt) < merges:
         if at_words < len(learnt):
             words, at_words = tables.write("words", _moved_on(words, Steps(learnt[at_words:], base + at_words))), len(learnt)
-        top = _pair_counts(words).filter(F.col("n") >= min_frequency).orderBy(F.col("n").desc(), "key").limit(HOT + 1).collect()
-        if not top:
+        best_first = _pair_counts(words).filter(F.col("n") >= min_frequency).orderBy(F.col("n").desc(), "key").limit(HOT + 1).toArrow()
+        keys, counts = (best_first.column(c).to_numpy() for c in ("key", "n"))
+        if not len(keys):
             break
-        floor, last = max(min_frequency, top[0]["n"] // FLOOR), sys.maxsize
-        if len(top) > HOT and top[HOT]["n"] >= floor:
-            floor = top[HOT]["n"] + 1
-            if top[0]["n"] < floor:  # more pairs share the best count than are held: those up to the last held come first
-                floor, last = top[0]["n"], top[HOT]["key"]
-        ranking = _Ranking({r["key"]: r["n"] for r in top if r["n"] >= floor})
+        floor, last = max(min_frequency, int(counts[0]) // FLOOR), sys.maxsize
+        if len(keys) > HOT and counts[HOT] >= floor:
+            floor = int(counts[HOT]) + 1
+            if counts[0] < floor:  # more pairs share the best count than are held: those up to the last held come first
+                floor, last = int(counts[0]), int(keys[HOT])
+        ranking = _Ranking(dict(zip(keys[counts >= floor].tolist(), counts[counts >= floor].tolist())))
 
         def can_take(best: tuple[int, int] | None) -> bool:
             return best is not None and (best[1] > floor or best[1] == floor and best[0] <= last)

@@ -14,7 +14,7 @@ from rulespan.plans.catalog import query
 from rulespan.plans.q_metrics import rounded
 from rulespan.plans.q_profile import cif
 from rulespan.plans.testbed import Testbed, with_tables
-from rulespan.session import content_key, kept
+from rulespan.session import checkpointed, content_key, publish, published
 
 
 def on(*names: str, body: str) -> str:
@@ -35,19 +35,24 @@ def pretoken_freq(t: Testbed):
 VOCABULARY = 8_000
 
 
-def learnt(t: Testbed, n: int = VOCABULARY - vocabulary.BYTES - len(vocabulary.SPECIAL_TOKENS)):
-    """The token table learnt from the training documents; queries over the same documents share it."""
-    train = t.texts("doc_id", "text").filter(F.col("doc_id") % 10 < 7)
+def _training(t: Testbed):
+    return t.texts("doc_id", "text").filter(F.col("doc_id") % 10 < 7)
+
 
-    def make():
-        return vocabulary.token_table(t.spark, vocabulary.learn(f.pretoken_frequency(train, "text"), n))
+def _learn(t: Testbed, n: int = VOCABULARY - vocabulary.BYTES - len(vocabulary.SPECIAL_TOKENS)):
+    return vocabulary.token_table(t.spark, vocabulary.learn(f.pretoken_frequency(_training(t), "text"), n))
 
-    return kept(t.spark, "vocabulary", f"{content_key(train, 'doc_id', 'text')}-{n}", make)
+
+def learnt(t: Testbed):
+    """The token table of the training documents: the one ``bpe_merges`` published for them, or learnt here."""
+    table = published(t.spark, "vocabulary", content_key(_training(t), "doc_id", "text"))
+    return _learn(t) if table is None else table
 
 
 @query("bpe_merges")
 def bpe_merges(t: Testbed):
-    return learnt(t).filter(F.col("kind") == "merge").select("id", "token", "kind")
+    table = publish(_learn(t), "vocabulary", content_key(_training(t), "doc_id", "text"))
+    return table.filter(F.col("kind") == "merge").select("id", "token", "kind")
 
 
 @query("encode_column")
@@ -108,24 +113,25 @@ def labelled(t: Testbed):
     return t.checks().select("doc_id", "split", F.col("checker_pass").cast("int").alias("label"), "num_constraints", "cluster", "length_bin")
 
 
-def token_terms(t: Testbed):
-    """Counts of the n-grams of one to three token ids of every document, written once for all queries that fit on them."""
-    rows = t.texts("doc_id", "text")
+def _count_terms(t: Testbed):
+    ids = f.encode_column(t.texts("doc_id", "text"), "text", vocabulary.merges_of(learnt(t)), 2048)
+    return ids.select("doc_id", F.inline(vocabulary.ngram_counts(F.col("input_ids"), 1, 3)))
 
-    def make():
-        ids = f.encode_column(rows, "text", vocabulary.merges_of(learnt(t)), 2048)
-        return ids.select("doc_id", F.inline(vocabulary.ngram_counts(F.col("input_ids"), 1, 3)))
 
-    return kept(t.spark, "token-terms", content_key(rows, "doc_id", "text"), make)
+def token_terms(t: Testbed):
+    """Counts of the n-grams of one to three token ids of every document: those ``logreg_fit`` published, or counted here."""
+    table = published(t.spark, "token-terms", content_key(t.texts("doc_id", "text"), "doc_id", "text"))
+    return checkpointed(_count_terms(t)) if table is None else table
 
 
-def text_model(t: Testbed):
-    return ml.text_model(labelled(t), token_terms(t), "doc_id", 2, 1.0, TERMS)
+def text_model(t: Testbed, terms=None):
+    return ml.text_model(labelled(t), token_terms(t) if terms is None else terms, "doc_id", 2, 1.0, TERMS)
 
 
 @query("logreg_fit")
 def logreg_fit(t: Testbed):
-    _, _, scored = text_model(t)
+    terms = publish(_count_terms(t), "token-terms", content_key(t.texts("doc_id", "text"), "doc_id", "text"))
+    _, _, scored = text_model(t, terms)
     keys = ["split"]
     return rounded(area_metrics(curve(score_counts(scored, keys), keys), keys), "auroc", "auprc", places=4)
 

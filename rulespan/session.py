@@ -6,7 +6,6 @@ import hashlib
 import re
 import tempfile
 import uuid
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -58,17 +57,28 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{_shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def kept(spark: SparkSession, name: str, key: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """The table ``name`` for ``key`` (what it was made from), written to the shared folder the first time it is asked for.
+def _published_at(spark: SparkSession, name: str, key: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{_shared_root(spark)}/{name}-{key}")
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def published(spark: SparkSession, name: str, key: str) -> DataFrame | None:
+    """The table ``name`` made from what ``key`` stands for, if a job has published it in the shared folder."""
+    path, files = _published_at(spark, name, key)
+    return spark.read.parquet(path.toString()) if files.exists(path) else None
+
+
+def publish(df: DataFrame, name: str, key: str) -> DataFrame:
+    """Write a table for all later jobs that ask for this name and key.
 
     It is written aside and moved into place when complete, so a lost writer leaves nothing that could be read.
     """
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{_shared_root(spark)}/{name}-{key}")
-    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not files.exists(path):
-        aside = shared_folder(spark, name)
-        make().write.parquet(aside)
-        files.rename(spark._jvm.org.apache.hadoop.fs.Path(aside), path)
+    spark = df.sparkSession
+    path, files = _published_at(spark, name, key)
+    aside = shared_folder(spark, name)
+    df.write.parquet(aside)
+    files.delete(path, True)
+    files.rename(spark._jvm.org.apache.hadoop.fs.Path(aside), path)
     return spark.read.parquet(path.toString())
 
 
