@@ -18,13 +18,34 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def unique_keys(df: DataFrame, keys: Sequence[str], what: str = "table") -> DataFrame:
-    """The rows of ``df``; the job fails on the first key that occurs twice.
+    """The rows of ``df``; the job fails on a key that occurs twice. Only the key columns are read for the check."""
+    twice = duplicate_keys(df.select(*keys), keys).agg(F.max(F.to_json(F.struct(*keys)))).scalar()
+    fails = F.raise_error(F.concat(F.lit(f"{what}: duplicate key "), twice)).cast("boolean")
+    return df.filter(F.when(twice.isNull(), F.lit(True)).otherwise(fails))
 
-    The check rides on the shuffle by key the join needs anyway, so it adds no pass over the data.
+
+#: A key is hot when it holds more than this share of the rows: there are fewer than 512 of them.
+HOT_SHARE = 1 / 512
+
+
+def looked_up(rows: DataFrame, table: DataFrame, key: str, weight: str, spread: str) -> DataFrame:
+    """``rows`` with the columns of ``table``, which has one row per ``key`` and in ``weight`` the number of its rows.
+
+    ``table`` should be written already: it is read three times. Hot keys, fewer than 512 however large the table, come
+    by a broadcast; their rows pass the join for all others spread by ``spread``, where nothing waits for them. So no
+    task gets all rows of a key, and the table may have any size. Rows without a partner, or with a null key, get nulls.
     """
-    n = F.count("*").over(Window.partitionBy(*keys))
-    ok = F.when(n > 1, F.raise_error(F.concat(F.lit(f"{what}: duplicate key "), F.to_json(F.struct(*keys)))))
-    return df.withColumn("_dup", ok).filter(F.col("_dup").isNull()).drop("_dup")
+    names = [c for c in table.columns if c != key]
+    total = table.agg(F.sum(weight)).first()[0] or 0
+    # Always 0, but not a literal: that would be taken out of the join key, and the key alone would deal out the rows.
+    zero = F.pmod(F.col(weight), F.lit(1)).cast("bigint")
+    hot = table.filter(F.col(weight) > HOT_SHARE * total).limit(int(1 / HOT_SHARE)).select(F.col(key).alias("_hot"), F.struct(*names).alias("_of_hot"))
+    cold = table.filter(F.col(weight) <= HOT_SHARE * total).select(F.col(key).alias("_cold"), zero.alias("_cold_part"), F.struct(*names).alias("_of_cold"))
+    marked = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
+    spread_out = F.pmod(F.xxhash64(spread), F.lit(1 << 20)) + 1
+    marked = marked.withColumn("_part", F.when(F.col("_of_hot").isNull() & F.col(key).isNotNull(), 0).otherwise(spread_out))
+    both = marked.join(cold, (F.col(key) == F.col("_cold")) & (F.col("_part") == F.col("_cold_part")), "left")
+    return both.select(*rows.columns, *[F.coalesce(f"_of_hot.{c}", f"_of_cold.{c}").alias(c) for c in names])
 
 
 def join_one_to_one(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from rulespan.operators.joins import ids_within
+from rulespan.operators.joins import ids_within, looked_up
 from rulespan.operators.ranking import group_mode, hash_rank, ordered_totals
 from rulespan.operators.profile import id_frequency
 from rulespan.session import checkpointed
@@ -37,18 +37,19 @@ def base_frame(df: DataFrame, split_name: str, split_type: str, seed: int) -> Da
     )
 
 
-def stratify_labels(df: DataFrame, min_count: int = 20, name: str = "strat_label") -> DataFrame:
-    """Label ``num::family signature``; labels with fewer than ``min_count`` rows share the rare label of their number."""
+def stratify_labels(df: DataFrame, min_count: int = 20, name: str = "strat_label", key: str = "prompt_id") -> DataFrame:
+    """Label ``num::family signature``; labels with fewer than ``min_count`` rows share the rare label of their number.
+
+    Rows are not shuffled by their label: a label may hold nearly all of them.
+    """
     num = F.col("num_constraints").cast("string")
     raw = F.concat(num, F.lit("::"), F.coalesce("constraint_family_signature", F.lit(MISSING)))
     tagged = df.withColumn("_raw", raw)
     # One row per distinct label: counted once and written, every later step reads the small table.
-    counts = checkpointed(tagged.groupBy("_raw", num.alias("_num")).agg(F.count("*").alias("_n")))
-    collapsed = counts.withColumn(
-        "_label",
-        F.when(F.col("_n") < min_count, F.concat("_num", F.lit("::" + RARE))).otherwise(F.col("_raw")),
-    )
-    return tagged.join(collapsed.select("_raw", F.col("_label").alias(name)), "_raw").drop("_raw")
+    counts = tagged.groupBy("_raw", num.alias("_num")).agg(F.count("*").alias("_n"))
+    label = F.when(F.col("_n") < min_count, F.concat("_num", F.lit("::" + RARE))).otherwise(F.col("_raw"))
+    labels = checkpointed(counts.select("_raw", label.alias(name), "_n"))
+    return looked_up(tagged, labels, "_raw", "_n", key).drop("_raw", "_n")
 
 
 def quotas(counts: DataFrame, label: str, total: int, wanted: int) -> DataFrame:
@@ -70,21 +71,17 @@ def take_stratified(
 
     Strata with a single row are pooled into one; all others keep their share.
     """
-    per_label = checkpointed(df.groupBy(F.col(label).alias("_stratum")).agg(F.count("*").alias("n")))
+    per_label = checkpointed(df.groupBy(F.col(label).alias("_label")).agg(F.count("*").alias("n")))
     rows = per_label.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    pooled = F.when(F.col("n") < 2, F.lit("")).otherwise(F.col("_stratum"))
-    single = per_label.filter("n < 2").select(F.col("_stratum").alias("_single"))
-    per_label = per_label.groupBy(pooled.alias("_stratum")).agg(F.sum("n").alias("n"))
+    pooled = F.when(F.col("n") < 2, F.lit("")).otherwise(F.col("_label"))
+    strata = per_label.groupBy(pooled.alias("_stratum")).agg(F.sum("n").alias("n"))
     wanted = math.ceil(rows * fraction) if fraction is not None else min(size, rows)
-    share = quotas(per_label, "_stratum", rows, wanted)
-    tagged = df.join(single, F.col(label) == F.col("_single"), "left")
-    tagged = tagged.withColumn("_stratum", F.when(F.col("_single").isNotNull(), F.lit("")).otherwise(F.col(label))).drop("_single")
+    share = quotas(strata, "_stratum", rows, wanted)
+    # A label's stratum, quota and size in one small table: every row looks them up once.
+    known = checkpointed(per_label.withColumn("_stratum", pooled).join(share, "_stratum"))
+    tagged = looked_up(df.withColumn("_label", F.col(label)), known, "_label", "n", key).drop("_label", "n")
     ranked = hash_rank(tagged, ["_stratum"], key, seed, "_rank")
-    return (
-        ranked.join(share, "_stratum")
-        .withColumn(name, F.col("_rank") <= F.col("quota"))
-        .drop("_stratum", "_rank", "quota")
-    )
+    return ranked.withColumn(name, F.col("_rank") <= F.col("quota")).drop("_stratum", "_rank", "quota")
 
 
 def _finish(df: DataFrame) -> DataFrame:

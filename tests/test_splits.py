@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rulespan.operators import sampling as s
 from rulespan.operators import splits as sp
+from rulespan.operators.joins import looked_up
 from rulespan.operators.ranking import dense_index, exact_quantiles, hash_rank, running_totals, score_rank, stable_sample
 
 
@@ -150,3 +151,28 @@ def test_allocation_equals_a_greedy_loop(spark, size):
     got = {r.cluster: r.allocation for r in s.allocate_sqrt(counts, "cluster", size).collect()}
     assert got == greedy_allocation(sizes, size)
     assert s.allocate_sqrt(counts.limit(0), "cluster", size).count() == 0
+
+
+def test_one_stratum_of_nearly_all_rows(spark):
+    """99 % of the rows have one label: no task gets them all, and quotas and the part of the others stay exact."""
+    rows = [(f"{hashlib.sha256(str(i).encode()).hexdigest()}", 1 if i % 100 else 2, "hot" if i % 100 else f"cold{i % 700}") for i in range(8_000)]
+    df = spark.createDataFrame(rows, "prompt_id string, num_constraints int, constraint_family_signature string")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        labelled = sp.stratify_labels(df, 2)
+        sizes = [r.n for r in labelled.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+        assert len(sizes) >= 4 and max(sizes) < 2 * sum(sizes) / len(sizes)
+        taken = sp.take_stratified(labelled, "strat_label", 42, 0.25)
+        per = {r.strat_label: (r.n, r.t) for r in taken.groupBy("strat_label").agg(F.count("*").alias("n"), F.count_if("taken").alias("t")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert per["1::hot"] == (7_920, 1_980) and sum(t for _, t in per.values()) == 2_000 and sum(n for n, _ in per.values()) == 8_000
+
+
+def test_looked_up_rows_keep_nulls_and_strangers(spark):
+    rows = spark.createDataFrame([("a", 1), ("b", 2), (None, 3), ("z", 4)] + [("hot", i) for i in range(5, 40)], "k string, i int")
+    table = spark.createDataFrame([("a", 1, 10), ("b", 1, None), ("hot", 35, 7)], "k string, n int, v int")
+    got = {r.i: (r.n, r.v) for r in looked_up(rows, table, "k", "n", "i").collect()}
+    assert got == {1: (1, 10), 2: (1, None), 3: (None, None), 4: (None, None), **{i: (35, 7) for i in range(5, 40)}}
