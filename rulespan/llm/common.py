@@ -82,7 +82,9 @@ def with_label(rows: DataFrame, labels: DataFrame, key: str, counts: DataFrame,
     hot = few.select(F.col(key).alias("_hot"), F.struct(*names).alias("_of_hot"))
     marked = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
     marked = marked.withColumn("_part", F.when(F.col("_of_hot").isNull(), 0).otherwise(F.pmod(F.xxhash64(spread), F.lit(1 << 20)) + 1))
-    rest = labels.select(F.col(key).alias("_cold"), F.lit(0).cast("bigint").alias("_cold_part"), F.struct(*names).alias("_of_cold"))
+    # Always 0, but not a literal: that would be taken out of the join key, and the key alone would deal out the rows.
+    zero = F.pmod(F.xxhash64(key), F.lit(1))
+    rest = labels.select(F.col(key).alias("_cold"), zero.alias("_cold_part"), F.struct(*names).alias("_of_cold"))
     both = marked.join(rest, (F.col(key) == F.col("_cold")) & (F.col("_part") == F.col("_cold_part")), "left")
     return both.select(*[F.col(c) for c in rows.columns if c not in names], *[F.coalesce(f"_of_hot.{c}", f"_of_cold.{c}").alias(c) for c in names])
 

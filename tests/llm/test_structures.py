@@ -12,6 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from rulespan.llm import conversations, simhash, whitening
+from rulespan.llm.common import with_label
 
 # -- whitening -----------------------------------------------------------------------------------------------------
 
@@ -275,3 +276,19 @@ def test_conversations_without_rows(spark):
     assert found(of(spark, [])) == []
     gone = next((c, t) for c in range(50) for t in range(9) if zlib.crc32(f"{c}:{t}".encode()) % 20 == 0)
     assert found(of(spark, [(*gone, "user", "Hi.")])) == [(gone[0], 0, 0, 0, 0, 0, 0, "", hashlib.sha256(b"").hexdigest())]
+
+
+def test_labels_of_a_hot_key_come_without_a_hot_task(spark):
+    rows = spark.range(8_000).select("id", F.when(F.col("id") % 100 == 0, F.col("id")).otherwise(-1).alias("k"))
+    labels = rows.select("k").distinct().select("k", (F.col("k") * 2).alias("v"))
+    counts = rows.groupBy("k").agg(F.count("*").alias("rows"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = with_label(rows, labels, "k", counts, "id")
+        sizes = [r.n for r in out.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(sizes) >= 4 and max(sizes) < 2 * sum(sizes) / len(sizes)
+    assert out.filter("v = 2 * k").count() == 8_000
