@@ -66,6 +66,12 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     return F.xxhash64(F.col(doc_id), F.col(text))
 
 
+def row_name(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """128 bits of a row's id and text, as hex digits: rows that differ have different names."""
+    said = F.when(F.col(text).isNull(), "-").otherwise(F.concat(F.lit("="), F.col(text)))
+    return F.md5(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("-")), F.lit(":"), said).cast("binary"))
+
+
 #: A key is hot when it holds more than this share of the rows: there are fewer than one over it of them.
 HOT_SHARE = 1 / 512
 

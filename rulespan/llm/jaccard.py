@@ -13,7 +13,8 @@ pairs of one group that still lie in different components are then compared, in
 distance bounds the difference from below, and at last set by set. No link between different texts is lost, and no
 group's pairs are all written out.
 
-Shingles are 64-bit hashes; equality of sets and similarities are decided on these (128 bits tell sets apart).
+Shingles are 64-bit hashes; equality of sets and similarities are decided on these. A set goes by the first 64 bits of
+its 128-bit digest; sets that differ but share them are found by the other bits and get names of their own.
 Equal sets are one node. Edge cases: null or empty texts have the empty set and link with nothing; fewer words than
 an n-gram make one shingle of all words; a null doc_id sorts behind all others; repeated rows get equal results.
 """
@@ -30,7 +31,7 @@ import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from rulespan.llm.common import LAST_ID, mixed, row_key, slices, stored
+from rulespan.llm.common import LAST_ID, mixed, row_name, slices, stored
 from rulespan.llm.components import connected
 
 N_GRAM = 3
@@ -78,9 +79,20 @@ def shingles(text: bytes | None, n: int = N_GRAM) -> np.ndarray:
     return np.unique(out)
 
 
-def set_ids(tokens: np.ndarray) -> tuple[int, int]:
-    d = xxhash.xxh3_128_digest(tokens.tobytes())
-    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+class Names:
+    """Names of sets: 64 bits of their digest, but for those in ``renamed`` (name and other bits -> new name).
+
+    ``bits`` is lower in tests only, so that sets meet under one name.
+    """
+
+    def __init__(self, bits: int = 64, renamed: dict[tuple[int, int], int] | None = None):
+        self.bits, self.renamed = bits, renamed or {}
+
+    def of(self, tokens: np.ndarray) -> tuple[int, int]:
+        d = xxhash.xxh3_128_digest(tokens.tobytes())
+        name = int.from_bytes(d[:8], "little", signed=True) >> 64 - self.bits
+        check = int.from_bytes(d[8:], "little", signed=True)
+        return self.renamed.get((name, check), name), check
 
 
 def similar(a: np.ndarray, b: np.ndarray, hundredths: int) -> bool:
@@ -176,21 +188,42 @@ def _raw(docs: DataFrame, *columns: Column) -> DataFrame:
     return docs.select(*columns, F.col("text").cast("binary").alias("_text"))
 
 
-def sets(docs: DataFrame, n_gram: int = N_GRAM) -> DataFrame:
-    """(doc_id, _k, n, sid, check) of every row: size and two hashes of its set, null hashes for the empty set."""
+def sets(docs: DataFrame, n_gram: int = N_GRAM, names: Names = Names()) -> DataFrame:
+    """(doc_id, _k, n, sid, check) of every row: size, name and other bits of its set, nulls for the empty set."""
 
     def run(batches):
         for b in slices(batches, "_text"):
             n, sid, check = [], [], []
             for text in b.column("_text").to_pylist():
                 t = shingles(text, n_gram)
-                ids = set_ids(t) if len(t) else (None, None)
+                ids = names.of(t) if len(t) else (None, None)
                 n.append(len(t)), sid.append(ids[0]), check.append(ids[1])
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("_k"), *[pa.array(x, pa.int64()) for x in (n, sid, check)]], ["doc_id", "_k", "n", "sid", "check"]
             )
 
-    return _raw(docs, F.col("doc_id").cast("bigint"), row_key().alias("_k")).mapInArrow(run, "doc_id bigint, _k bigint, n bigint, sid bigint, check bigint")
+    return _raw(docs, F.col("doc_id").cast("bigint"), row_name().alias("_k")).mapInArrow(run, "doc_id bigint, _k string, n bigint, sid bigint, check bigint")
+
+
+def named_sets(docs: DataFrame, n_gram: int = N_GRAM, bits: int = 64) -> tuple[DataFrame, Names]:
+    """``sets``, written, and the names in which no two different sets meet.
+
+    Of some billion sets one pair is expected to share 64 bits, and the list of such sets grows that slowly: it is all
+    that passes through the driver. The sets are named again until no name is shared.
+    """
+    names = Names(bits)
+    while True:
+        members = stored(sets(docs, n_gram, names), "shingle-sets")
+        shared = members.groupBy("sid").agg(F.min("check").alias("_a"), F.max("check").alias("_b")).filter("_a <> _b").select("sid")
+        clashing = members.join(shared, "sid").select("sid", "check").distinct().collect()
+        if not clashing:
+            return members, names
+        first = {}
+        for sid, check in sorted(clashing):
+            if first.setdefault(sid, check) != check:
+                fresh = int.from_bytes(xxhash.xxh3_64_digest(f"{sid}:{check}:{len(names.renamed)}".encode()), "little", signed=True)
+                old = next((k for k, v in names.renamed.items() if v == sid and k[1] == check), (sid, check))
+                names.renamed[old] = fresh
 
 
 def _allocated(members: DataFrame, hundredths: int) -> Bands:
@@ -205,7 +238,7 @@ def _allocated(members: DataFrame, hundredths: int) -> Bands:
     return bands
 
 
-def _signed(docs: DataFrame, bands: Bands, n_gram: int) -> DataFrame:
+def _signed(docs: DataFrame, bands: Bands, n_gram: int, names: Names) -> DataFrame:
     """(g, sid): every signature of every set, once per batch."""
     known = docs.sparkSession.sparkContext.broadcast(bands)
 
@@ -216,7 +249,7 @@ def _signed(docs: DataFrame, bands: Bands, n_gram: int) -> DataFrame:
                 t = shingles(text, n_gram)
                 if not len(t):
                     continue
-                sid = set_ids(t)[0]
+                sid = names.of(t)[0]
                 if sid in seen:
                     continue
                 seen.add(sid)
@@ -254,7 +287,7 @@ def _packed(docs: DataFrame, wanted: DataFrame, n_gram: int) -> DataFrame:
                 n.append(len(t)), bits.append(_bits(t))
             yield pa.RecordBatch.from_arrays([b.column("sid"), b.column("z"), pa.array(n, pa.int64()), pa.array(bits, pa.list_(pa.int64()))], ["sid", "z", "n", "bits"])
 
-    texts = _raw(docs, row_key().alias("_k")).mapInArrow(squeeze, "_k bigint, z binary")
+    texts = _raw(docs, row_name().alias("_k")).mapInArrow(squeeze, "_k string, z binary")
     return wanted.join(texts, "_k").dropDuplicates(["_k"]).select("sid", "z").mapInArrow(measure, "sid bigint, z binary, n bigint, bits array<bigint>")
 
 
@@ -326,18 +359,16 @@ def _close(members: DataFrame, hundredths: int) -> DataFrame:
     return few.select("a", "b").unionByName(many).distinct()
 
 
-def components(docs: DataFrame, n_gram: int = N_GRAM, hundredths: int = HUNDREDTHS) -> DataFrame:
+def components(docs: DataFrame, n_gram: int = N_GRAM, hundredths: int = HUNDREDTHS, name_bits: int = 64) -> DataFrame:
     """(doc_id, _k, n_shingles, component_id, n_copies, first) of every row.
 
     ``_k`` is the row's key (id and text); ``first`` marks the row that stands for its component, and empty sets.
     """
-    members = stored(sets(docs, n_gram), "shingle-sets")
-    if members.groupBy("sid").agg(F.count_distinct("check").alias("c")).filter("c > 1").limit(1).count():
-        raise ValueError("two different sets share a 64-bit hash")
+    members, names = named_sets(docs, n_gram, name_bits)
     first = F.coalesce("doc_id", F.lit(LAST_ID))
     nodes = members.filter("n > 0").groupBy("sid").agg(F.min(F.struct(first.alias("id"), F.col("_k"))).alias("_f"), F.count("*").alias("n_copies"))
     nodes = stored(nodes.select("sid", F.col("_f.id").alias("id"), F.col("_f._k").alias("_k"), "n_copies"), "distinct-sets")
-    shared = stored(_shared(_signed(docs, _allocated(members, hundredths), n_gram)), "shared-signatures")
+    shared = stored(_shared(_signed(docs, _allocated(members, hundredths), n_gram, names)), "shared-signatures")
     packed = stored(_packed(docs, nodes.join(shared.select("sid").distinct(), "sid").select("_k", "sid"), n_gram), "candidate-sets")
 
     size = shared.groupBy("g").agg(F.count("*").alias("_r"))
@@ -372,6 +403,6 @@ def components(docs: DataFrame, n_gram: int = N_GRAM, hundredths: int = HUNDREDT
 def deduplicated(docs: DataFrame, n_gram: int = N_GRAM, hundredths: int = HUNDREDTHS) -> DataFrame:
     """All columns of one row of each component (of equal rows one), and of every row with an empty set."""
     others = components(docs, n_gram, hundredths).filter("NOT first").select(F.col("_k").alias("__other")).distinct()
-    keyed = docs.withColumn("__row_key", row_key())
+    keyed = docs.withColumn("__row_key", row_name())
     left = keyed.join(others, F.col("__row_key") == F.col("__other"), "left_anti")
     return left.dropDuplicates(["__row_key"]).drop("__row_key")

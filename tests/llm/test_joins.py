@@ -61,6 +61,13 @@ def test_components_by_brute_force(frame, n_gram, hundredths, seed):
     assert got == by_hand(rows, n_gram, hundredths)
 
 
+def test_sets_that_share_a_name_are_told_apart(frame):
+    """Names of four bits: nearly all sets clash, are renamed, and give the same components."""
+    rows = corpus(seed=5)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.components(frame(rows), name_bits=4).collect()}
+    assert got == by_hand(rows, 3, 90)
+
+
 def test_every_linked_pair_shares_a_signature():
     r = random.Random(3)
     for hundredths in (90, 80, 60):
