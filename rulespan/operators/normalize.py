@@ -88,8 +88,12 @@ def split_ids(text: Column) -> Column:
     )
 
 
-def output_flags(df: DataFrame, max_tokens: int = 1024, context_limit: int = 4096) -> DataFrame:
-    """Flags of a generation record from its token counts, finish reason and error text."""
+def output_flags(df: DataFrame, max_tokens: int = 1024, context_limit: int = 4096, error_chars: int | None = None) -> DataFrame:
+    """Flags of a generation record from its token counts, finish reason and error text, which stays whole.
+
+    ``error_chars`` cuts the error text, for tables that are only looked at.
+    """
+    error = F.coalesce(F.col("error"), F.lit(""))
     tokens = F.when(F.col("ok"), F.col("output_tokens"))
     hit = F.coalesce(tokens >= max_tokens, F.lit(False))
     reason = F.coalesce(F.col("finish_reason"), F.lit(""))
@@ -104,7 +108,7 @@ def output_flags(df: DataFrame, max_tokens: int = 1024, context_limit: int = 409
             "prompt_plus_max_output_tokens": total,
             "within_context_budget": total <= context_limit,
             "context_window_error": is_context_error(F.col("ok"), F.col("error")),
-            "error": F.substring(F.coalesce(F.col("error"), F.lit("")), 1, 1000),
+            "error": error if error_chars is None else F.substring(error, 1, error_chars),
         }
     )
 

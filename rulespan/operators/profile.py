@@ -33,6 +33,13 @@ def value_counts(df: DataFrame, *columns: str) -> DataFrame:
     return df.groupBy(*columns).agg(F.count("*").alias("row_count"))
 
 
+def top_levels(df: DataFrame, column: str, n: int, other: str = "__other__") -> DataFrame:
+    """The rows with all but the ``n`` most frequent values of a column (ties in value order) replaced by one level."""
+    tops = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("_n")).orderBy(F.col("_n").desc(), column).limit(n)
+    marked = df.join(F.broadcast(tops.select(F.col(column).alias("_level"))), F.col(column) == F.col("_level"), "left")
+    return marked.withColumn(column, F.coalesce("_level", F.lit(other))).drop("_level")
+
+
 def id_frequency(df: DataFrame, ids: str = "instruction_ids") -> DataFrame:
     """Frequency of every id and of its family; repeats inside a row count."""
     per_id = df.select(F.explode(ids).alias("instruction_id")).groupBy("instruction_id").agg(F.count("*").alias("frequency"))
@@ -116,35 +123,68 @@ def null_ratios(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def promptset_audit(df: DataFrame, expected: int) -> DataFrame:
-    """One record: size, distributions as sorted JSON maps, duplicates, empty shares."""
-
-    def counted(column: str) -> Column:
-        # Distinct values per distribution are few; the counted table, not the rows, is gathered.
-        table = df.groupBy(F.col(column).cast("string").alias("k")).agg(F.count("*").alias("n"))
-        entries = F.array_sort(F.collect_list(F.struct(F.coalesce("k", F.lit("None")).alias("k"), "n")))
-        return table.agg(F.to_json(F.map_from_entries(entries))).scalar()
-
-    def repeated(column: str, field: str) -> Column:
-        return duplicates_excess(df, [column]).select(field).scalar()
+def promptset_audit(
+    df: DataFrame, expected: int, empty_message: Column, empty_constraint: Column, parse_failed: Column
+) -> DataFrame:
+    """One record: size, distributions and frequencies as sorted JSON maps, duplicates, empty and failed shares.
 
-    main = df.agg(
-        F.count("*").alias("num_rows"),
-        F.count_if(F.col("user_prompt").isNull() | (F.col("user_prompt") == "")).alias("empty_prompts"),
-    )
-    return main.select(
-        "num_rows",
-        F.lit(expected).cast("bigint").alias("expected_num_rows"),
-        (F.col("num_rows") == expected).alias("expected_num_rows_match"),
-        counted("num_constraints").alias("num_constraints_distribution"),
-        counted("source_dataset").alias("dataset_distribution"),
-        counted("constraint_type").alias("constraint_type_distribution"),
-        repeated("prompt_id", "duplicate_rows").alias("duplicate_prompt_rows"),
-        repeated("base_key", "duplicate_values").alias("duplicate_base_keys"),
-        repeated("base_key", "duplicate_rows").alias("duplicate_base_key_rows"),
-        "empty_prompts",
-        F.coalesce(ratio("empty_prompts", "num_rows"), F.lit(0.0)).alias("empty_prompt_ratio"),
-    )
+    The rows are read once: each gives a few (kind, value) entries, which are counted together; the counted values
+    then make one row per kind. Texts stay behind.
+    """
+    ids = F.coalesce("instruction_ids", F.array().cast("array<string>"))
+    shown = ("num_constraints", "source_dataset", "constraint_type", "instruction_id", "constraint_family")
+
+    def one(kind: str, value: Column) -> Column:
+        return F.array(F.struct(F.lit(kind).alias("kind"), value.cast("string").alias("value")))
+
+    def each(kind: str, values: Column) -> Column:
+        return F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+
+    def flag(name: str, hit: Column) -> Column:
+        return F.when(hit, one(name, F.lit(""))).otherwise(F.array().cast("array<struct<kind:string,value:string>>"))
+
+    entries = F.concat(
+        *[one(c, F.col(c)) for c in ("num_constraints", "source_dataset", "constraint_type", "prompt_id", "base_key")],
+        each("instruction_id", ids), each("constraint_family", F.transform(ids, lambda i: F.substring_index(i, ":", 1))),
+        flag("empty_messages", empty_message), flag("empty_constraint", empty_constraint), flag("parse_failures", parse_failed),
+    )
+    counted = df.select(F.explode(entries).alias("e")).groupBy("e.kind", "e.value").agg(F.count("*").alias("n"))
+    # Values of the shown kinds are few; of ids and keys only sums are kept.
+    entry = F.when(F.col("kind").isin(*shown), F.struct(F.coalesce("value", F.lit("None")).alias("k"), "n"))
+    known = F.col("value").isNotNull()
+    per_kind = counted.groupBy("kind").agg(
+        F.sum("n").alias("n"),
+        F.sum(F.when(known & (F.col("n") > 1), F.col("n") - 1).otherwise(0)).alias("repeated_rows"),
+        F.count_if(known & (F.col("n") > 1)).alias("repeated_values"),
+        F.array_sort(F.collect_list(entry)).alias("entries"),
+    )
+    of = F.map_from_entries(F.collect_list(F.struct("kind", F.struct("n", "repeated_rows", "repeated_values", "entries"))))
+    record = per_kind.agg(of.alias("of"))
+
+    def field(kind: str, name: str) -> Column:
+        return F.coalesce(F.try_element_at("of", F.lit(kind))[name], F.lit(0).cast("bigint"))
+
+    def shown_as(kind: str) -> Column:
+        return F.to_json(F.map_from_entries(F.try_element_at("of", F.lit(kind))["entries"]))
+
+    rows = field("prompt_id", "n")
+    out = {
+        "num_rows": rows,
+        "expected_num_rows": F.lit(expected).cast("bigint"),
+        "expected_num_rows_match": rows == expected,
+        "num_constraints_distribution": shown_as("num_constraints"),
+        "dataset_distribution": shown_as("source_dataset"),
+        "constraint_type_distribution": shown_as("constraint_type"),
+        "instruction_id_frequency": shown_as("instruction_id"),
+        "constraint_family_frequency": shown_as("constraint_family"),
+        "duplicate_prompt_rows": field("prompt_id", "repeated_rows"),
+        "duplicate_base_keys": field("base_key", "repeated_values"),
+        "duplicate_base_key_rows": field("base_key", "repeated_rows"),
+    }
+    for kind in ("empty_messages", "empty_constraint", "parse_failures"):
+        out[kind] = field(kind, "n")
+        out[f"{kind}_ratio"] = F.coalesce(ratio(field(kind, "n"), rows), F.lit(0.0))
+    return record.select(*[c.alias(name) for name, c in out.items()])
 
 
 # --- pass rates ------------------------------------------------------------------------------------------------
@@ -315,45 +355,57 @@ def top_drift(shares: DataFrame, n: int) -> DataFrame:
 
 
 def split_audit(splits: DataFrame, all_rows: DataFrame) -> DataFrame:
-    """One record per split file: size, duplicates, leaks, coverage, drift, and the critical flag.
+    """One record per split file: size, duplicates, leaks, coverage, drift, passes by part, and the critical flag.
 
-    Leaking prompts or missing ids are critical; leaking task keys are critical only for the grouped split.
+    Leaking prompts or missing ids are critical; leaking task keys are critical only for the grouped split. The split
+    table is read twice: once for the counts per part and cluster, once, met with the known ids, for what its prompt ids
+    and task keys show.
     """
-    by = ["split_name"]
-    sizes = duplicate_summary(splits, "prompt_id", by).select(
-        "split_name", "row_count", F.col("duplicate_row_count").alias("prompt_duplicate_rows")
-    )
-    total = all_rows.agg(F.countDistinct("prompt_id"))
-    covered = splits.join(all_rows.select("prompt_id").distinct(), "prompt_id", "left_semi").groupBy("split_name").agg(
-        F.countDistinct("prompt_id").alias("_known")
-    )
-    extra = splits.join(all_rows.select("prompt_id"), "prompt_id", "left_anti").groupBy("split_name").agg(
-        F.countDistinct("prompt_id").alias("extra_prompt_id_count")
+    cells = splits.groupBy("split_name", "split", "cluster").agg(
+        F.count("*").alias("n"), F.count_if("checker_pass").alias("passes"), F.count_if("output_truncated").alias("cut")
+    )
+    part, file = Window.partitionBy("split_name", "split"), Window.partitionBy("split_name")
+    share = F.col("n") / F.sum("n").over(part)
+    overall = F.sum("n").over(Window.partitionBy("split_name", "cluster")) / F.sum("n").over(file)
+    # A cluster that a part lacks differs by its whole overall share.
+    parts = cells.withColumns({"_s": share, "_g": overall}).groupBy("split_name", "split").agg(
+        F.sum("n").alias("row_count"), F.sum("passes").alias("pass_count"), F.sum("cut").alias("truncated_rows"),
+        (0.5 * (F.sum(F.abs(F.col("_s") - F.col("_g"))) + 1 - F.sum("_g"))).alias("tvd"),
+    )
+    said = F.concat_ws(":", F.coalesce("split", F.lit("<missing>")), "row_count", "pass_count", "truncated_rows", F.round(ratio("pass_count", "row_count"), 6))
+    sizes = parts.groupBy("split_name").agg(
+        F.sum("row_count").alias("row_count"), F.max("tvd").alias("max_cluster_tvd"), F.array_join(F.array_sort(F.collect_list(said)), ";").alias("pass_by_split")
+    )
+    ids = all_rows.select("prompt_id").distinct().withColumn("_known", F.lit(True))
+    total = all_rows.agg(F.countDistinct("prompt_id")).first()[0]
+    keyed = splits.select("split_name", "split", "prompt_id", "base_key").join(ids, "prompt_id", "left").select(
+        "split_name", "split", F.coalesce("_known", F.lit(False)).alias("_known"),
+        F.inline(F.array(
+            F.struct(F.lit("prompt").alias("kind"), F.col("prompt_id").cast("string").alias("value")),
+            F.struct(F.lit("key").alias("kind"), F.col("base_key").cast("string").alias("value")),
+        )),
+    )
+    per_value = keyed.groupBy("split_name", "kind", "value").agg(
+        F.count("*").alias("n"), (F.min("split") < F.max("split")).alias("leaks"), F.max("_known").alias("known")
+    )
+    known = F.col("value").isNotNull()
+    prompt, key = F.col("kind") == "prompt", F.col("kind") == "key"
+    found = per_value.groupBy("split_name").agg(
+        F.sum(F.when(prompt & known & (F.col("n") > 1), F.col("n")).otherwise(0)).alias("prompt_duplicate_rows"),
+        F.sum(F.when(key & known & (F.col("n") > 1), F.col("n")).otherwise(0)).alias("base_key_duplicate_rows"),
+        F.count_if(prompt & known & ~F.col("known")).alias("extra_prompt_id_count"),
+        (F.lit(total) - F.count_if(prompt & F.col("known"))).alias("missing_prompt_id_count"),
+        F.count_if(prompt & known & F.col("leaks")).alias("prompt_leaks"),
+        F.count_if(key & known & F.col("leaks")).alias("base_key_leaks"),
     )
-
-    def leaks(column: str, name: str) -> DataFrame:
-        return leakage_summary(splits, column, "split", by).select(
-            "split_name", F.col("leaked_value_count").alias(name)
-        )
-
-    drift = split_tvd(cluster_share(splits, ["split_name", "split"]), ["split_name", "split"]).groupBy("split_name").agg(
-        F.max("cluster_tvd_vs_all").alias("max_cluster_tvd")
-    )
-    out = sizes
-    for part in (covered, extra, leaks("prompt_id", "prompt_leaks"), leaks("base_key", "base_key_leaks"), drift):
-        out = out.join(part, "split_name", "left")
-    out = out.na.fill(0, ["_known", "extra_prompt_id_count", "prompt_leaks", "base_key_leaks"]).withColumn(
-        "missing_prompt_id_count", total.scalar() - F.col("_known")
-    )
-    grouped = F.col("split_name").contains("group_key")
     critical = (
         (F.col("prompt_duplicate_rows") > 0)
         | (F.col("prompt_leaks") > 0)
         | (F.col("missing_prompt_id_count") > 0)
         | (F.col("extra_prompt_id_count") > 0)
-        | (grouped & (F.col("base_key_leaks") > 0))
+        | (F.col("split_name").contains("group_key") & (F.col("base_key_leaks") > 0))
     )
-    return out.drop("_known").withColumn("critical", critical)
+    return sizes.join(found, "split_name").withColumn("critical", critical)
 
 
 # --- lift and association --------------------------------------------------------------------------------------
@@ -396,12 +448,20 @@ def lift_table(df: DataFrame, column: str, min_count: int = 1) -> DataFrame:
 
 
 def lift_by_id(df: DataFrame, ids: str = "instruction_ids", min_count: int = 1) -> DataFrame:
-    """Lift per instruction id: rows are distinct prompts, positives are summed over exploded rows."""
+    """Lift per instruction id: rows are distinct prompts, positives are summed over exploded rows.
+
+    Rows are counted per id and prompt, then per id and token count: the median comes from these counts.
+    """
     rows = df.select("prompt_id", "output_truncated", "prompt_tokens", F.explode(ids).alias("category"))
-    grouped = rows.groupBy("category").agg(
-        F.countDistinct("prompt_id").alias("row_count"),
-        F.count_if("output_truncated").alias("truncated_count"),
-        F.round(F.percentile("prompt_tokens", F.lit(0.5)), 2).alias("prompt_tokens_p50"),
+    per_prompt = rows.groupBy("category", "prompt_id", "prompt_tokens").agg(F.count("*").alias("n"), F.count_if("output_truncated").alias("x"))
+    first = F.row_number().over(Window.partitionBy("category", "prompt_id").orderBy("prompt_tokens"))
+    per_length = per_prompt.withColumn("_new", (first == 1).cast("int")).groupBy("category", "prompt_tokens").agg(
+        F.sum("n").alias("n"), F.sum("x").alias("x"), F.sum("_new").alias("prompts")
+    )
+    grouped = per_length.groupBy("category").agg(
+        F.sum("prompts").alias("row_count"),
+        F.sum("x").alias("truncated_count"),
+        F.round(F.percentile("prompt_tokens", F.lit(0.5), F.col("n")), 2).alias("prompt_tokens_p50"),
     ).filter(F.col("row_count") >= min_count)
     return _lift_columns(grouped, _whole(df), "row_count", "truncated_count")
 

@@ -36,6 +36,8 @@ BYTES = 256
 
 #: Pairs whose counts the driver holds at most, and merges guessed in one round.
 HOT, GUESSED = 100_000, 512
+#: Tasks that add up a round's changes at most: each gets a share of the pairs, whatever the number of shuffle partitions.
+ADDERS = 24
 #: An epoch lasts while the best pair is at least this share of its first one.
 FLOOR = 16
 _NONE = np.int32(2**31 - 1)
@@ -280,7 +282,7 @@ def _changes(segments: DataFrame, made: Steps, guess: Steps, hot: np.ndarray, fl
         yield pa.RecordBatch.from_arrays([pa.array(step[kept]), pa.array(key[kept]), pa.array(n[kept])], ["step", "key", "n"])
 
     schema = "step int, key bigint, n bigint"
-    found = segments.mapInArrow(reported, schema).repartition("key").mapInArrow(added, schema).toArrow()
+    found = segments.mapInArrow(reported, schema).repartition("key").coalesce(ADDERS).mapInArrow(added, schema).toArrow()
     out: dict[int, list[tuple[int, int]]] = {}
     for step, key, n in zip(*(found.column(c).to_pylist() for c in ("step", "key", "n"))):
         out.setdefault(step, []).append((key, n))

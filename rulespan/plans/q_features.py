@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from rulespan.functions import text as tx
 from rulespan.operators import features as f
 from rulespan.operators import models as ml
+from rulespan.operators import normalize as n
+from rulespan.operators import profile as p
 from rulespan.operators import vocabulary
 from rulespan.operators.metrics import area_metrics, curve, score_counts
 from rulespan.plans import sqltext as q
@@ -100,6 +102,17 @@ def tfidf(t: Testbed):
     return rounded(f.tfidf(counts, terms, "doc_id", n), "weight")
 
 
+@query("token_tfidf")
+def token_tfidf(t: Testbed):
+    """Weights of the n-grams of one to three token ids, terms fitted on the training documents."""
+    counts = token_terms(t)
+    train = labelled(t).filter(F.col("split") == "train").select("doc_id")
+    rows = train.count()
+    terms = checkpointed(ml.fit_vocabulary(counts.join(train, "doc_id", "left_semi"), rows, 2, 1.0, TERMS))
+    out = f.tfidf(counts, terms, "doc_id", rows).withColumn("term", vocabulary.ngram_ids(F.col("term")))
+    return rounded(out.select("doc_id", "term", "tf", "weight"), "weight")
+
+
 @query("char_ngrams", f"""WITH words AS (SELECT doc_id, ' ' || w || ' ' AS w, count(*) AS c FROM (SELECT doc_id, unnest({WORDS_SQL}) AS w FROM documents) GROUP BY ALL),
 g AS (SELECT doc_id, c, unnest(list_transform(range(1, length(w) - n + 2), lambda i: substr(w, i, n))) AS term FROM words, (VALUES (3), (4), (5)) v(n)),
 d AS (SELECT doc_id, term, sum(c) AS tf FROM g GROUP BY ALL)
@@ -186,14 +199,25 @@ def silhouette(t: Testbed):
     return t.table("embeddings").agg(F.count("*").alias("row_count")).withColumn("silhouette_cosine", F.round(F.lit(value), 4))
 
 
+# The feature sets compared, as (numeric, categorical) columns.
+_METADATA = ["length_bin", "source_dataset", "constraint_type", "constraint_family_signature", "key_family"]
+FEATURE_SETS = {
+    "cluster_only": ([], ["cluster"]),
+    "length_and_num_constraints": (["prompt_tokens", "num_constraints"], ["length_bin"]),
+    "metadata_no_cluster": (["prompt_tokens", "num_constraints"], _METADATA),
+    "cluster_plus_metadata": (["prompt_tokens", "num_constraints"], ["cluster", *_METADATA]),
+}
+
+
 @query("cv_auc")
 def cv_auc(t: Testbed):
     rows = t.checks().select(
         "prompt_id", F.col("output_truncated").cast("int").alias("label"), F.col("cluster").cast("string").alias("cluster"),
-        "constraint_type", "num_constraints", "output_tokens",
+        "length_bin", "source_dataset", "constraint_type", "num_constraints", "prompt_tokens", "constraint_family_signature",
+        n.key_family(F.col("base_key")).alias("key_family"),
     )
-    sets = {"cluster_only": ([], ["cluster"]), "numbers_and_type": (["num_constraints", "output_tokens"], ["constraint_type"])}
-    return rounded(ml.cv_auc(rows, sets, "label", "prompt_id", 3, 42), "roc_auc_mean", "roc_auc_std", places=4)
+    rows = p.top_levels(p.top_levels(rows, "key_family", 50), "constraint_family_signature", 120)
+    return rounded(ml.cv_auc(rows, FEATURE_SETS, "label", "prompt_id", 5, 42), "roc_auc_mean", "roc_auc_std", places=4)
 
 
 def _has(*families: str) -> str:

@@ -88,20 +88,28 @@ def null_ratio(t: Testbed):
     return rounded(p.null_ratios(rows, ["text", "lang"]), "ratio")
 
 
-def json_counts_sql(column: str) -> str:
+def json_counts_sql(column: str, table: str = "promptset") -> str:
     return (f"(SELECT '{{' || string_agg('\"' || k || '\":' || n, ',' ORDER BY k) || '}}' FROM "
-            f"(SELECT CAST({column} AS VARCHAR) AS k, count(*) AS n FROM promptset GROUP BY ALL))")
+            f"(SELECT CAST({column} AS VARCHAR) AS k, count(*) AS n FROM {table} GROUP BY ALL))")
+
+
+def flag_sql(name: str, condition: str) -> str:
+    return f"{cif(condition)} AS {name}, {cif(condition)}::DOUBLE / count(*) AS {name}_ratio"
 
 
 @query("promptset_audit", on("promptset", body=f"""
-dup AS ({excess_sql('prompt_id')} UNION ALL {excess_sql('base_key')})
+dup AS ({excess_sql('prompt_id')} UNION ALL {excess_sql('base_key')}),
+ids AS (SELECT unnest(instruction_ids) AS id FROM promptset)
 SELECT count(*) AS num_rows, CAST(1000 AS BIGINT) AS expected_num_rows, count(*) = 1000 AS expected_num_rows_match,
  {json_counts_sql('num_constraints')} AS num_constraints_distribution, {json_counts_sql('source_dataset')} AS dataset_distribution,
- {json_counts_sql('constraint_type')} AS constraint_type_distribution, (SELECT duplicate_rows FROM dup WHERE "column" = 'prompt_id') AS duplicate_prompt_rows,
+ {json_counts_sql('constraint_type')} AS constraint_type_distribution, {json_counts_sql('id', 'ids')} AS instruction_id_frequency,
+ {json_counts_sql("split_part(id, ':', 1)", 'ids')} AS constraint_family_frequency,
+ (SELECT duplicate_rows FROM dup WHERE "column" = 'prompt_id') AS duplicate_prompt_rows,
  (SELECT duplicate_values FROM dup WHERE "column" = 'base_key') AS duplicate_base_keys, (SELECT duplicate_rows FROM dup WHERE "column" = 'base_key') AS duplicate_base_key_rows,
- {cif("user_prompt = ''")} AS empty_prompts, {cif("user_prompt = ''")}::DOUBLE / count(*) AS empty_prompt_ratio FROM promptset"""))
+ {flag_sql('empty_messages', "user_prompt = ''")}, {flag_sql('empty_constraint', "doc_id % 53 = 0")}, {flag_sql('parse_failures', "doc_id % 97 = 0")} FROM promptset"""))
 def promptset_audit(t: Testbed):
-    return p.promptset_audit(t.promptset(), 1000)
+    d = F.col("doc_id")
+    return p.promptset_audit(t.promptset(), 1000, F.coalesce("user_prompt", F.lit("")) == "", d % 53 == 0, d % 97 == 0)
 
 
 RATES = f"""count(*) AS row_count, {cif('checker_pass')} AS pass_count, {cif('checker_error_count > 0')} AS checker_error_rows,

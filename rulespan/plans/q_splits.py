@@ -135,12 +135,12 @@ def heldout_manifest(t: Testbed):
     return record.select(F.to_json(F.struct("*")).alias("manifest"))
 
 
-TWO = """two AS (SELECT prompt_id, base_key, constraint_signature, cluster, checker_pass, prompt_tokens, split, 'by_row' AS split_name FROM checks UNION ALL
- SELECT prompt_id, base_key, constraint_signature, cluster, checker_pass, prompt_tokens, CASE WHEN CAST(split_part(base_key, '_', 2) AS BIGINT) < 40 THEN 'train' ELSE 'test' END, 'group_key' FROM checks WHERE doc_id % 100 <> 0)"""
+TWO = """two AS (SELECT prompt_id, base_key, constraint_signature, cluster, checker_pass, output_truncated, prompt_tokens, split, 'by_row' AS split_name FROM checks UNION ALL
+ SELECT prompt_id, base_key, constraint_signature, cluster, checker_pass, output_truncated, prompt_tokens, CASE WHEN CAST(split_part(base_key, '_', 2) AS BIGINT) < 40 THEN 'train' ELSE 'test' END, 'group_key' FROM checks WHERE doc_id % 100 <> 0)"""
 
 
 def two_splits(t: Testbed):
-    cols = ["prompt_id", "base_key", "constraint_signature", "cluster", "checker_pass", "prompt_tokens"]
+    cols = ["prompt_id", "base_key", "constraint_signature", "cluster", "checker_pass", "output_truncated", "prompt_tokens"]
     number = F.split_part("base_key", F.lit("_"), F.lit(2)).cast("bigint")
     return t.checks().select(*cols, "split", F.lit("by_row").alias("split_name")).unionByName(
         t.checks().filter(F.col("doc_id") % 100 != 0).select(
@@ -157,11 +157,14 @@ def leak_sql(column: str) -> str:
 cells AS (SELECT split_name, split, cluster, count(*) AS n FROM two GROUP BY ALL),
 sh AS (SELECT *, n::DOUBLE / sum(n) OVER (PARTITION BY split_name, split) AS s, (sum(n) OVER (PARTITION BY split_name, cluster))::DOUBLE / sum(n) OVER (PARTITION BY split_name) AS g FROM cells),
 tvd AS (SELECT split_name, max(d) AS d FROM (SELECT split_name, split, 0.5 * (sum(abs(s - g)) + 1 - sum(g)) AS d FROM sh GROUP BY ALL) GROUP BY ALL),
+parts AS (SELECT split_name, string_agg(split || ':' || n || ':' || ok || ':' || cut || ':' || CAST(round(ok::DOUBLE / n, 6) AS VARCHAR), ';' ORDER BY split || ':' || n) AS pass_by_split
+ FROM (SELECT split_name, split, count(*) AS n, count_if(checker_pass) AS ok, count_if(output_truncated) AS cut FROM two GROUP BY ALL) GROUP BY ALL),
+again AS (SELECT split_name, CAST(sum(n) AS BIGINT) AS base_key_duplicate_rows FROM (SELECT split_name, base_key, count(*) AS n FROM two GROUP BY ALL HAVING count(*) > 1) GROUP BY ALL),
 base AS (SELECT split_name, count(*) AS row_count, CAST(0 AS BIGINT) AS prompt_duplicate_rows, CAST(0 AS BIGINT) AS extra_prompt_id_count,
  (SELECT count(*) FROM checks) - count(DISTINCT prompt_id) AS missing_prompt_id_count FROM two GROUP BY ALL)
-SELECT b.*, coalesce(p.n, 0) AS prompt_leaks, coalesce(k.n, 0) AS base_key_leaks, round(d, 9) AS max_cluster_tvd,
+SELECT b.*, pass_by_split, coalesce(base_key_duplicate_rows, 0) AS base_key_duplicate_rows, coalesce(p.n, 0) AS prompt_leaks, coalesce(k.n, 0) AS base_key_leaks, round(d, 9) AS max_cluster_tvd,
  coalesce(p.n, 0) > 0 OR missing_prompt_id_count > 0 OR (b.split_name LIKE '%group_key%' AND coalesce(k.n, 0) > 0) AS critical
-FROM base b LEFT JOIN {leak_sql('prompt_id')} p ON p.split_name = b.split_name LEFT JOIN {leak_sql('base_key')} k ON k.split_name = b.split_name JOIN tvd ON tvd.split_name = b.split_name"""))
+FROM base b LEFT JOIN {leak_sql('prompt_id')} p ON p.split_name = b.split_name LEFT JOIN {leak_sql('base_key')} k ON k.split_name = b.split_name JOIN tvd ON tvd.split_name = b.split_name JOIN parts ON parts.split_name = b.split_name LEFT JOIN again ON again.split_name = b.split_name"""))
 def split_audit(t: Testbed):
     return rounded(p.split_audit(two_splits(t), t.checks().select("prompt_id")), "max_cluster_tvd")
 

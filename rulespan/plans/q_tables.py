@@ -9,6 +9,7 @@ from rulespan.functions import text as tx
 from rulespan.functions.rules import REGISTERED, conflict_edges
 from rulespan.operators import joins as j
 from rulespan.operators import normalize as n
+from rulespan.operators import profile as p
 from rulespan.operators.ranking import dense_index as dense_index_op
 from rulespan.plans.catalog import query
 from rulespan.plans.testbed import Testbed, with_tables
@@ -276,7 +277,7 @@ CONTEXT_SQL = "(NOT ok AND regexp_matches(lower(coalesce(error, '')), '" + "|".j
 @query("output_flags", RECORDS_SQL + f"""SELECT prompt_id, prompt_tokens, ok, CASE WHEN ok THEN output_tokens ELSE -1 END AS output_tokens, finish_reason,
  ok AND output_tokens >= 1024 AS output_hit_max_tokens, {CUT} AS output_truncated, CASE WHEN {CUT} THEN 'truncated' ELSE 'completed' END AS output_limit_status,
  prompt_tokens + 1024 AS prompt_plus_max_output_tokens, prompt_tokens + 1024 <= 4096 AS within_context_budget,
- {CONTEXT_SQL} AS context_window_error, substr(coalesce(error, ''), 1, 1000) AS error FROM records""")
+ {CONTEXT_SQL} AS context_window_error, coalesce(error, '') AS error FROM records""")
 def output_flags(t: Testbed):
     out = n.output_flags(records(t))
     return out.withColumn("output_tokens", F.coalesce("output_tokens", F.lit(-1)))
@@ -354,11 +355,8 @@ TOP_SQL = "tops AS (SELECT base_key FROM promptset GROUP BY 1 ORDER BY count(*)
 SELECT CASE WHEN t.base_key IS NULL THEN '__other__' ELSE p.base_key END AS level, count(*) AS row_count FROM promptset p
 LEFT JOIN tops t ON t.base_key = p.base_key GROUP BY ALL"""))
 def top_levels(t: Testbed):
-    rows = t.promptset()
-    tops = rows.groupBy("base_key").agg(F.count("*").alias("_n")).orderBy(F.col("_n").desc(), "base_key").limit(50)
-    marked = rows.select("base_key").join(tops.select("base_key", F.lit(1).alias("_top")), "base_key", "left")
-    level = F.when(F.col("_top").isNull(), "__other__").otherwise(F.col("base_key"))
-    return marked.groupBy(level.alias("level")).agg(F.count("*").alias("row_count"))
+    marked = p.top_levels(t.promptset().select("base_key"), "base_key", 50)
+    return marked.groupBy(F.col("base_key").alias("level")).agg(F.count("*").alias("row_count"))
 
 
 SUPPORTED = REGISTERED[::2]
