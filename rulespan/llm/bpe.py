@@ -6,7 +6,9 @@ for the smallest rank, delete that boundary, refresh the ranks beside it. The sc
 ``LONG`` bytes use a heap of pairs with the same result. Decoding joins the vocabulary's strings by a space.
 
 Edge cases: a null text is empty; empty text has no tokens and decodes to empty text; special tokens in a text are
-their own ids. Work is row-local, without a shuffle; the cache of words a task keeps is bounded.
+their own ids. Of pairs with one rank the leftmost is merged first. Repeated rows, and rows without an id, are encoded
+each for itself; an empty table gives no rows. Texts of any length are encoded whole, in batches that hold about a
+megabyte of text (one longer text stays alone). Work is row-local; the cache of words a task keeps is bounded.
 """
 
 from __future__ import annotations

@@ -10,7 +10,9 @@ The benchmark side is read in blocks of a bounded number of windows, each sent t
 shuffle while one block holds all windows. With more blocks the hits of each are united per (id, text) row key.
 
 Edge cases: null or empty texts (on either side) have no words; repeated windows of several items count for each of
-them; items with a null id count among ``n_items`` with an empty id; an empty benchmark hits nothing.
+them; items with a null id count among ``n_items`` with an empty id; an empty benchmark hits nothing. Which of
+equally rare tokens stands for a window changes no result. Repeated documents get equal results, an empty table none; long texts are
+cut into batches by bytes, a single longer one is read whole.
 """
 
 from __future__ import annotations

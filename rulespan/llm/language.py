@@ -6,7 +6,8 @@ rejection floor of its length band is rejected: the floors are learned from the
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0 and rejected. Very long texts are counted
 in pieces, so memory does not follow their length. Repeated rows get equal results. Without any training row every
-text is ``und`` and rejected. Columns other than the id and the text are never inputs of a prediction.
+text is ``und`` and rejected; an empty table gives no rows. Of equally near centroids the first language in order wins.
+Columns other than the id and the text are never inputs of a prediction.
 """
 
 from __future__ import annotations

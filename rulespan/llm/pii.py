@@ -11,7 +11,7 @@ Both passes over the texts are row-local. What the driver gets are counts of cat
 4 kinds x 3^5 votes x a few dozen shapes, however many documents there are.
 
 Edge cases: null texts are empty and have no spans; repeated rows get equal results; very long texts are scanned
-piecewise by linear patterns; without candidates the classifier adds nothing. Offsets are code points, ends exclusive.
+piecewise by linear patterns; without candidates the classifier adds nothing; an empty table gives no rows. Offsets are code points, ends exclusive.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ Only these counts (at most ``PROBES`` per border and round) reach the driver. Wi
 expression on the key, and rows are exchanged once, for the numbers inside the shards.
 
 Edge cases: a null text has the size of its overhead and crc32 0; a null doc_id sorts before all others; rows that
-repeat id and text share a key and stay in one shard; an empty table gives an empty result.
+repeat id and text share a key and stay in one shard; an empty table gives an empty result. A text counts by its bytes
+however long it is; one longer than a shard's share makes that shard as large as itself.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ maximal repeat, whose words are removed. Anchors that one document has alone are
 
 Each word covered by such a window is removed, judged on the input. Edge cases: null and empty texts have no words; a
 text of fewer than 13 words keeps all; repeats inside one document stay; rows with the same id do not remove each
-other's words; a null id sorts behind all others, so it never removes. Very long texts are hashed in pieces.
+other's words; a null id sorts behind all others, so it never removes. Very long texts are hashed in pieces; an empty
+table gives no rows.
 """
 
 from __future__ import annotations

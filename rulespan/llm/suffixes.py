@@ -7,7 +7,8 @@ rest window by window, under the anchor and the 17 bytes beside it.
 
 Each byte covered by a 50-byte string that also starts in a document with a smaller id is removed, judged on the
 input. Edge cases: a null text is empty; texts under 50 bytes stay whole; repeats inside one document stay; rows with
-the same id do not remove each other's bytes; a null id sorts behind all others. Kept bytes may cut a character.
+the same id do not remove each other's bytes; a null id sorts behind all others. Very long texts are hashed
+in pieces; an empty table gives no rows. Kept bytes may cut a character.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ starts with theirs; the longest that fits wins. Where none fits, the method's ow
 one matches, else allow. Work is row-local: a hot host needs no shuffle.
 
 Edge cases: a null url, or one without ``://``, has an empty host and path and fits no site rule; patterns still see
-its text. Repeated urls get equal results. ``MOST_RULES`` bounds the index each task holds; more rules raise.
+its text. Repeated urls get equal results, an empty table none; urls of
+any length are read whole: their tokens fetch rules, and only these run. ``MOST_RULES`` bounds the index each task holds; more rules raise.
 """
 
 from __future__ import annotations

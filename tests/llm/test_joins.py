@@ -362,3 +362,18 @@ def test_a_phrase_of_many_documents_is_no_single_key(frame, monkeypatch, tmp_pat
     found = {r.doc_id: r.n_removed for r in suffixes.deduplicate(docs).collect()}
     assert [found[i] for i in range(240)] == expected([t.encode() for _, t in rows], 50)
     assert max(int(f.read_text()) for f in tmp_path.iterdir()) <= 24
+
+
+def test_stages_on_nothing_on_repeated_rows_and_on_a_long_text(spark, frame, tmp_path):
+    """An empty table passes all stages; a repeated row stays once; a text of 200,000 words is read whole."""
+    spark.createDataFrame([], "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    r = random.Random(9)
+    long = " ".join(f"w{r.randrange(9_000)}" for _ in range(200_000)) + " mail me@example.org"
+    for rows in ([], [(1, "some short text of seven words here"), (1, "some short text of seven words here"), (2, long), (3, None), (4, "")]):
+        now = frame(rows, lang=lambda i: "en" if i % 2 else "de", extra=False)
+        for _, stage in corpus_pipeline.STAGES:
+            now = stage(spark, now, str(tmp_path))
+        out = now.collect()
+        assert len(out) == len({x.doc_id for x in out}) and {x.doc_id for x in out} <= {1, 2}
+        assert all(x.n_tokens > 200_000 for x in out if x.doc_id == 2)
+    assert 2 in {x.doc_id for x in out}
