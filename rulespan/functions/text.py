@@ -21,7 +21,14 @@ WS = (
 )
 NOT_WS = "[^" + WS[1:]
 WORD = r"[\p{L}\p{N}_]"
-TOKEN = rf"{WORD}+(?:['’-]{WORD}+)*|[^{WS[1:-1]}\p{{L}}\p{{N}}_]"
+TOKEN = rf"'[tT](?:is|was|Is|Was|IS|WAS)\b|{WORD}+(?:['’-]{WORD}+)*|[^{WS[1:-1]}\p{{L}}\p{{N}}_]"
+# The contractions a Treebank tokeniser splits, in order; each pattern is the two parts of a whole token.
+CONTRACTIONS = (
+    r"([^']*[^'])('[sSmMdD]|'ll|'LL|'re|'RE|'ve|'VE|n't|N'T)", r"(?i)(can)(not)", r"(?i)(d)('ye)", r"(?i)(gim)(me)",
+    r"(?i)(gon)(na)", r"(?i)(got)(ta)", r"(?i)(lem)(me)", r"(?i)(more)('n)", r"(?i)(wan)(na)", r"(?i)('t)(is|was)",
+)
+# Between the parts of a split token; a control character no token carries.
+_PART = chr(1)
 REGEX_META = r"[\\.^$|?*+()\[\]{}]"
 
 # Marker for a run of dots while sentences are split; a private-use character no text carries.
@@ -55,11 +62,20 @@ def word_count(v: Column) -> Column:
 
 
 def word_tokens(v: Column) -> Column:
-    """Word and punctuation tokens; a hyphenated or contracted word is one token.
+    """Word and punctuation tokens; contractions are split in two ("don't" into "do" and "n't"), hyphenated words are not."""
+    tokens = F.regexp_extract_all(v, F.lit(TOKEN), F.lit(0))
+    any_form = "|".join(f"(?:{c})" for c in CONTRACTIONS)
 
-    Deviation: a Treebank tokeniser also splits contractions ("don't" into two tokens); this one does not.
-    """
-    return F.regexp_extract_all(v, F.lit(TOKEN), F.lit(0))
+    def parts(t: Column) -> Column:
+        for pattern in CONTRACTIONS:
+            t = F.regexp_replace(t, f"^(?:{pattern})$", f"$1{_PART}$2")
+        return F.split(t, _PART, -1)
+
+    def split(found: Column) -> Column:
+        return F.flatten(F.transform(found, lambda t: F.when(t.rlike(f"^(?:{any_form})$"), parts(t)).otherwise(F.array(t))))
+
+    # Most texts hold no contraction: their tokens stay as they are found.
+    return bound_once(tokens, lambda found: F.when(F.exists(found, lambda t: t.rlike(f"^(?:{any_form})$")), split(found)).otherwise(found))
 
 
 def lit_replace(v: Column, old: str, new: str) -> Column:
