@@ -6,13 +6,12 @@ Ranks without a partition are taken over result tables (one row per experiment),
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from rulespan.operators.joins import union_runs
 from rulespan.operators.metrics import outcome_class
 from rulespan.operators.normalize import curve_label, size_of_label
+from rulespan.operators.ranking import top_per_group
 
 LAST = 1_000_000_000
 
@@ -57,35 +56,33 @@ def selection_table(summary: DataFrame) -> DataFrame:
     return best("validation-selected", "val_auprc").unionByName(best("best by test", "test_auprc"))
 
 
-def _first(df: DataFrame, recipe: str, order: Sequence[Column], n: int) -> DataFrame:
-    return df.orderBy(*order).limit(n).withColumn("recipe", F.lit(recipe))
-
-
 def error_examples(wide: DataFrame, n: int) -> DataFrame:
-    """Five recipes of wrong predictions over a prompt x model score table, n rows each."""
+    """Five recipes of wrong predictions over a prompt x model score table, n rows each.
+
+    A row is read once and offered to the recipes it fits; each task keeps n rows of a recipe before they meet.
+    """
     right = {f: (F.col(f) >= 0.5) == (F.col("label") == 1) for f in ("tfidf", "tiny", "frozen")}
-    key = F.col("prompt_id")
-    recipes = [
-        _first(wide.filter((F.col("label") == 0) & (F.col("tiny") >= 0.8)), "false_positive", [F.col("tiny").desc(), key], n),
-        _first(wide.filter((F.col("label") == 1) & (F.col("tiny") <= 0.2)), "false_negative", [F.col("tiny"), key], n),
-        _first(wide.filter(right["tiny"] & ~right["tfidf"]), "tiny_right_tfidf_wrong", [F.col("tiny").desc(), key], n),
-        _first(wide.filter(right["frozen"] & ~right["tiny"]), "frozen_right_tiny_wrong", [F.col("frozen").desc(), key], n),
-        _first(wide.filter(~right["tfidf"] & ~right["tiny"] & ~right["frozen"]), "all_wrong", [key], n),
-    ]
-    return union_runs(recipes).select("recipe", "prompt_id", "label", "tfidf", "tiny", "frozen")
+    recipes = {
+        "false_positive": ((F.col("label") == 0) & (F.col("tiny") >= 0.8), -F.col("tiny")),
+        "false_negative": ((F.col("label") == 1) & (F.col("tiny") <= 0.2), F.col("tiny")),
+        "tiny_right_tfidf_wrong": (right["tiny"] & ~right["tfidf"], -F.col("tiny")),
+        "frozen_right_tiny_wrong": (right["frozen"] & ~right["tiny"], -F.col("frozen")),
+        "all_wrong": (~right["tfidf"] & ~right["tiny"] & ~right["frozen"], F.lit(0.0)),
+    }
+    offers = F.array(*[F.when(fits, F.struct(F.lit(name).alias("recipe"), by.cast("double").alias("by"))) for name, (fits, by) in recipes.items()])
+    fitting = wide.select("prompt_id", "label", "tfidf", "tiny", "frozen", F.explode(offers).alias("_o")).filter(F.col("_o").isNotNull())
+    rows = fitting.select("_o.*", "prompt_id", "label", "tfidf", "tiny", "frozen")
+    best = top_per_group(rows, ["recipe"], [F.col("by").asc(), F.col("prompt_id").asc()], n, "_rn")
+    return best.select("recipe", "prompt_id", "label", "tfidf", "tiny", "frozen")
 
 
 def quadrant_examples(averaged: DataFrame, n: int) -> DataFrame:
-    """The n most confident prompts of every outcome class."""
+    """The n most confident prompts of every outcome class, in one pass."""
     p = F.col("p_mean")
     scored = averaged.withColumn("case_group", outcome_class(F.col("label"), F.when(p >= 0.5, 1).otherwise(0))).withColumn(
         "confidence", F.round(F.abs(p - 0.5), 9)
     )
-    picks = [
-        scored.filter(F.col("case_group") == c).orderBy(F.col("confidence").desc(), "prompt_id").limit(n)
-        for c in ("TP", "FP", "FN", "TN")
-    ]
-    return reduce(DataFrame.unionByName, picks)
+    return top_per_group(scored, ["case_group"], [F.col("confidence").desc(), F.col("prompt_id").asc()], n, "_rn").drop("_rn")
 
 
 def prompt_examples(
