@@ -118,8 +118,7 @@ g AS (SELECT doc_id, c, unnest(list_transform(range(1, length(w) - n + 2), lambd
 d AS (SELECT doc_id, term, sum(c) AS tf FROM g GROUP BY ALL)
 SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM d GROUP BY term HAVING count(*) >= 2""")
 def char_ngrams(t: Testbed):
-    counts = f.char_term_counts(t.texts("doc_id", "text"), "doc_id", "text")
-    return f.document_frequency(counts).filter(F.col("df") >= 2)
+    return f.char_gram_frequency(t.texts("doc_id", "text"), "doc_id", "text").filter(F.col("df") >= 2)
 
 
 def labelled(t: Testbed):
