@@ -269,11 +269,14 @@ def mlm_mask(t: Testbed):
     category = F.transform("w", lambda x: x.rlike("[0-9]").cast("int"))
     positions = f.mlm_positions(F.col("w"), category, F.col("doc_id").cast("string"), 7, 0.15, 0.3, ("the", "of"))
     masked, _ = f.apply_mask(F.col("w"), F.col("p"), "<mask>")
-    out = rows.withColumn("p", positions).filter(F.size("p") > 0).withColumn("masked", masked)
-    return out.select(
-        "doc_id", F.array_join(F.col("p").cast("array<string>"), ",").alias("positions"),
-        F.size(F.filter("masked", lambda x: x == "<mask>")).cast("bigint").alias("masked_count"),
+    replaced = tx.bound_once(masked, lambda m: F.filter("p", lambda at: F.get(m, at - 1) == "<mask>"))
+    found = F.struct(
+        F.array_join(F.col("p").cast("array<string>"), ",").alias("positions"),
+        F.size(replaced).cast("bigint").alias("masked_count"),
     )
+    # A filter on the places would be pushed below them and draw them twice.
+    out = f.explode_once(rows.withColumn("p", positions), F.when(F.size("p") > 0, F.array(found)), "o", "doc_id")
+    return out.select("doc_id", "o.positions", "o.masked_count")
 
 
 @query("pos_weight", on("checks", body=f"""SELECT {cif('checker_pass')} AS positives, {cif('NOT checker_pass')} AS negatives, round(count_if(NOT checker_pass)::DOUBLE / count_if(checker_pass), 9) AS pos_weight FROM checks"""))
