@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from rulespan.functions import rules, text as tx
+from rulespan.functions import alternatives, rules, text as tx
 
 
 def test_white_space_is_one_property_and_the_same_characters(spark):
@@ -27,3 +27,11 @@ def test_sentences_of_a_part_are_cut_once():
     args = rules.Args(F.col("k"), F.col("n"))
     shown = str(rules.RULES["count:counting_composition"].follow(t, args))
     assert shown.count("Prof|Capt") == 2  # two starter patterns, in one splitter
+
+
+def test_edges_are_trimmed_without_a_search_at_every_character(spark):
+    values = ["", "  ", " a b\n", "a", " x \x1c", "\n\n'q' .", None]
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    trimmed = alternatives._edge_trimmed(F.col("v"))
+    assert "regexp_replace" not in str(trimmed)
+    assert [r.t for r in df.select(trimmed.alias("t")).collect()] == [v if v is None else v.strip() for v in values]
