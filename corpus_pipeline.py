@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rulespan.llm import bpe, contamination, jaccard, language, pii
-from rulespan.llm.common import shipped, stored, table
+from rulespan.llm.common import shipped, small_batches, stored, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 ORACLE_SQL = None
@@ -20,7 +20,7 @@ ORACLE_SQL = None
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told; those rejected (no text, no letter, far from all centroids) go."""
-    shipped(spark)
+    small_batches(shipped(spark))
     model = language.fit(docs, ~language.held_out())
     return language.predict(docs, model, list(COLUMNS)).filter("NOT rejected").select(*COLUMNS)
 
@@ -30,16 +30,19 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     The one with the smallest id stays; documents without words are in no group and stay.
     """
+    small_batches(spark)
     return jaccard.deduplicated(docs.select(*COLUMNS), n_gram=5, hundredths=80)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of whose words less than one in 20 lies in a benchmark passage."""
+    small_batches(spark)
     return contamination.detect(docs, table(spark, sf_dir, "benchmark"), keep=COLUMNS).filter("NOT contaminated").select(*COLUMNS)
 
 
 def pii_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, its personal data replaced by masks; ``n_chars`` counts the new text."""
+    small_batches(spark)
     return pii.redact(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("bigint"))
 
 
@@ -48,6 +51,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Decoding joins vocabulary strings by spaces, so encoding that text again need not give the same ids.
     """
+    small_batches(spark)
     path = public_tokenizers.path("word_bpe_49k.json")
     rows = bpe.encode(docs, path, keep=("doc_id", "lang", "source"), decoded=True)
     return rows.withColumn("n_tokens", F.size("ids").cast("bigint")).withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("decoded")

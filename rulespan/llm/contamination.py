@@ -113,8 +113,9 @@ def _hits(rows: DataFrame, block: DataFrame, fields) -> DataFrame:
     """Rows with their number of words, the places of hit words as (start, end) runs, and the ids of the items found."""
     index: dict[bytes, list] = defaultdict(list)
     for r in block.collect():
-        w = r["window"].encode().split()
-        index[r["key"].encode()].append((r["place"], len(w), w, tuple(r["items"])))
+        # One object a window: a list of its words takes seven times the memory in every task.
+        window = r["window"].encode()
+        index[r["key"].encode()].append((r["place"], window.count(b" ") + 1, window, tuple(r["items"])))
     known = rows.sparkSession.sparkContext.broadcast(dict(index))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
 
@@ -129,7 +130,7 @@ def _hits(rows: DataFrame, block: DataFrame, fields) -> DataFrame:
                     if token in keys:
                         for place, length, window, owners in keys[token]:
                             a = i - place
-                            if a >= 0 and a + length <= len(w) and w[a : a + length] == window:
+                            if a >= 0 and a + length <= len(w) and b" ".join(w[a : a + length]) == window:
                                 at.add((a, a + length))
                                 ids.update(owners)
                 n_words.append(len(w))
