@@ -10,8 +10,9 @@ emitted against the pairs that are expected to collide, from counts over all doc
 Only sets that share a signature go on. In each signature group the others are first compared with one pivot, the
 member most connected elsewhere; members that end in the component of all the rest need no further comparison. Only
 pairs of one group that still lie in different components are then compared, in blocks, through bit vectors whose
-distance bounds the difference from below, and at last set by set. No link between different texts is lost, and no
-group's pairs are all written out.
+distance bounds the difference from below, and at last set by set, in the same block. Sets that share many large groups
+meet in the first they both know of. No link between different texts is lost, and what leaves a block are its members
+that need their text, then links: never a group's pairs.
 
 Shingles are 64-bit hashes; equality of sets and similarities are decided on these. A set goes by the first 64 bits of
 its 128-bit digest; sets that differ but share them are found by the other bits and get names of their own.
@@ -22,6 +23,7 @@ an n-gram make one shingle of all words; a null doc_id sorts behind all others;
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import lru_cache, reduce
 
 import numpy as np
@@ -43,6 +45,10 @@ BAND_POWER = 1.5
 SMALL = 32
 #: Members of a larger signature group compared with each other in one block.
 BLOCK = 1024
+#: Elements of their sets, about: what a block holds of long texts.
+ELEMENTS = 4 << 20
+#: So many of its large groups, the first by signature, each set brings along.
+FIRST = 16
 #: Bits of the vectors that bound differences from below.
 BITS = 512
 #: What one pair that collides by chance costs, in emitted rows (cost model only).
@@ -325,37 +331,91 @@ def _not_ruled_out(hundredths: int) -> Column:
     return sizes & (apart * (100 + hundredths) <= (F.col("na") + F.col("nb")) * (100 - hundredths))
 
 
-def _close(members: DataFrame, hundredths: int) -> DataFrame:
+def _meetings(pdf: pd.DataFrame, hundredths: int, c: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Every row x of two blocks of a group, with the rows y that it may link with and does not meet elsewhere.
+
+    They lie in different components (``c``, which may change between two steps), sizes and bit vectors do not rule a
+    link out, and neither set's ``first`` groups hold an earlier one of both: there the two meet already.
+    """
+    bits = np.array(pdf["bits"].tolist(), np.int64).view(np.uint64).reshape(len(pdf), -1)
+    first = np.array(pdf["first"].tolist(), np.int64)
+    n, sid, own = (pdf[x].to_numpy() for x in ("n", "sid", "_own"))
+    g, i, j = (pdf[x].iloc[0] for x in ("g", "_i", "_j"))
+    for x in np.flatnonzero(own == i):
+        y = np.flatnonzero((own == j) & (c != c[x]) & ((sid > sid[x]) | (i != j)))
+        y = y[100 * np.minimum(n[y], n[x]) >= hundredths * np.maximum(n[y], n[x])]
+        far = np.bitwise_count(bits[y] ^ bits[x]).sum(1)
+        y = y[far * (100 + hundredths) <= (n[y] + n[x]) * (100 - hundredths)]
+        if len(y):
+            y = y[~np.isin(first[y], first[x][first[x] < g]).any(1)]
+        if len(y):
+            yield x, y
+
+
+def _linked(rows: DataFrame, packed: DataFrame, n_gram: int, hundredths: int) -> DataFrame:
+    """Links (a, b) that join the components of two blocks, at most one for each component in them.
+
+    First each pair of blocks names its rows that may link with another; only those get their texts and meet again,
+    to be decided on the whole sets. What leaves either step grows with the rows, not with their pairs.
+    """
+
+    def name(pdf):
+        kept = np.zeros(len(pdf), bool)
+        for x, y in _meetings(pdf, hundredths, pdf["component"].to_numpy()):
+            kept[x] = kept[y] = True
+        return pdf[kept]
+
+    def link(pdf):
+        u = zstandard.ZstdDecompressor()
+        c, sid, z, known = pdf["component"].to_numpy(copy=True), pdf["sid"].to_numpy(), pdf["z"].to_numpy(), {}
+        out = []
+        for x, near in _meetings(pdf, hundredths, c):
+            for y in near:
+                if c[x] == c[y]:
+                    continue
+                for r in (x, y):
+                    if r not in known:
+                        known[r] = shingles(u.decompress(z[r]), n_gram)
+                if similar(known[x], known[y], hundredths):
+                    out.append((max(sid[x], sid[y]), min(sid[x], sid[y])))
+                    c[c == c[y]] = c[x]
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    named = rows.groupBy("g", "_i", "_j").applyInPandas(name, rows.schema)
+    return named.join(packed.select("sid", "z"), "sid").groupBy("g", "_i", "_j").applyInPandas(link, "a bigint, b bigint")
+
+
+def _close(members: DataFrame, hundredths: int, packed: DataFrame | None = None, n_gram: int = N_GRAM) -> DataFrame:
     """Pairs of one group in different components that sizes and bit vectors cannot rule out.
 
     ``members``: (g, sid, n, bits, component). Groups of up to SMALL members are joined with themselves. A larger one
-    is cut into blocks of about BLOCK members, and every two of its blocks meet in one place. What leaves either are
-    only pairs that pass.
+    is cut into blocks of about BLOCK members and ELEMENTS elements, and every two of its blocks meet in one place.
+    Two sets meet in the first large group that both know of. With the texts (``packed``) only links leave the blocks;
+    without them, all pairs that pass.
     """
-    size = members.groupBy("g").agg(F.count("*").alias("_r"), F.min("component").alias("_c"), F.max("component").alias("_d")).filter("_c <> _d")
-    parts = F.ceil(F.col("_r") / BLOCK).cast("int")
-    counted = members.join(size.select("g", "_r"), "g")
+    size = members.groupBy("g").agg(F.count("*").alias("_r"), F.sum("n").alias("_e"), F.min("component").alias("_c"), F.max("component").alias("_d"))
+    parts = F.ceil(F.greatest(F.col("_r") / BLOCK, F.col("_e") / ELEMENTS)).cast("int")
+    counted = members.join(size.filter("_c <> _d").select("g", "_r", parts.alias("_p")), "g")
     small = counted.filter(F.col("_r") <= SMALL)
     side = lambda x: small.select("g", F.col("sid").alias(x), *[F.col(c).alias(f"{c}{x}") for c in ("n", "bits", "component")])
     few = side("a").join(side("b"), "g").filter((F.col("a") > F.col("b")) & (F.col("componenta") != F.col("componentb")) & _not_ruled_out(hundredths))
-    rows = counted.filter(F.col("_r") > SMALL).withColumn("_p", parts).withColumn("_own", F.pmod(F.xxhash64("sid"), "_p").cast("int"))
+    large = stored(counted.filter(F.col("_r") > SMALL).select("g", "_p", "sid", "n", "bits", "component"), "large-groups")
+    # As many for each set: behind its last group stands a number that is before none.
+    first = F.slice(F.concat(F.sort_array(F.collect_list("g")), F.array_repeat(F.lit(LAST_ID), FIRST)), 1, FIRST)
+    rows = large.join(large.groupBy("sid").agg(first.alias("first")), "sid").withColumn("_own", F.pmod(F.xxhash64("sid"), "_p").cast("int"))
     rows = rows.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("_p") - 1)))
     rows = rows.withColumns({"_i": F.least("_own", "__other"), "_j": F.greatest("_own", "__other")})
+    rows = rows.select("g", "_i", "_j", "_own", "sid", "n", "bits", "component", "first")
+
+    def pairs(pdf):
+        sid = pdf["sid"].to_numpy()
+        out = [(max(sid[x], sid[y]), min(sid[x], sid[y])) for x, near in _meetings(pdf, hundredths, pdf["component"].to_numpy()) for y in near]
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    def run(pdf):
-        bits = np.array(pdf["bits"].tolist(), np.int64).view(np.uint64).reshape(len(pdf), -1)
-        n, c, sid, own = (pdf[x].to_numpy() for x in ("n", "component", "sid", "_own"))
-        i, j = pdf["_i"].iloc[0], pdf["_j"].iloc[0]
-        out_a, out_b = [], []
-        for x in np.flatnonzero(own == i):
-            y = np.flatnonzero((own == j) & (c != c[x]) & ((sid > sid[x]) | (i != j)))
-            y = y[100 * np.minimum(n[y], n[x]) >= hundredths * np.maximum(n[y], n[x])]
-            far = np.bitwise_count(bits[y] ^ bits[x]).sum(1)
-            y = y[far * (100 + hundredths) <= (n[y] + n[x]) * (100 - hundredths)]
-            out_a.append(np.maximum(sid[y], sid[x])), out_b.append(np.minimum(sid[y], sid[x]))
-        return pd.DataFrame({"a": np.concatenate(out_a or [[]]).astype(np.int64), "b": np.concatenate(out_b or [[]]).astype(np.int64)})
-
-    many = rows.select("g", "_i", "_j", "_own", "sid", "n", "bits", "component").groupBy("g", "_i", "_j").applyInPandas(run, "a bigint, b bigint")
+    if packed is None:
+        many = rows.groupBy("g", "_i", "_j").applyInPandas(pairs, "a bigint, b bigint")
+    else:
+        many = _linked(rows, packed, n_gram, hundredths)
     return few.select("a", "b").unionByName(many).distinct()
 
 
@@ -382,7 +442,7 @@ def components(docs: DataFrame, n_gram: int = N_GRAM, hundredths: int = HUNDREDT
     labelled = shared.join(label, F.col("sid") == F.col("node"), "left").select("g", "sid", F.coalesce("component", "sid").alias("component"))
     open_ = labelled.groupBy("g").agg(F.min("component").alias("_a"), F.max("component").alias("_b"), F.count("*").alias("_r")).filter("_a <> _b AND _r > 2")
     rest = labelled.join(open_.select("g"), "g").join(packed.select("sid", "n", "bits"), "sid")
-    close = _close(rest, hundredths).join(star, ["a", "b"], "left_anti")
+    close = _close(rest, hundredths, packed, n_gram).join(star, ["a", "b"], "left_anti")
     more = stored(_verified(close, packed, n_gram, hundredths), "links")
     if more.limit(1).count():
         label = stored(connected(links.unionByName(more), "a", "b"), "labels")

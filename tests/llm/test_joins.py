@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,6 +99,52 @@ def test_pairs_are_found_without_a_pivot(spark, small, block, monkeypatch):
     assert {(x.a, x.b) for x in jaccard._close(df, 90).collect()} == {(149, 7)}
 
 
+@pytest.mark.parametrize("block, elements", [(1024, 4 << 20), (3, 4 << 20), (1024, 60)])
+def test_large_groups_by_brute_force(frame, block, elements, monkeypatch):
+    """Nearly all groups are large ones, cut into blocks by members or by elements."""
+    for name, value in (("SMALL", 2), ("BLOCK", block), ("ELEMENTS", elements), ("FIRST", 2)):
+        monkeypatch.setattr(jaccard, name, value)
+    rows = corpus(seed=7)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.components(frame(rows), 2, 60).collect()}
+    assert got == by_hand(rows, 2, 60)
+
+
+def test_a_family_of_unlinked_texts_gives_no_pairs(frame, monkeypatch):
+    """Texts made from one, each with its own changes: all share segments and few bits differ, yet hardly any two link."""
+    monkeypatch.setattr(jaccard, "SMALL", 2)
+    asked, verified = [], jaccard._verified
+
+    def counting(pairs, *rest):
+        asked.append(pairs.count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(jaccard, "_verified", counting)
+    r = random.Random(12)
+    base = [f"b{i}" for i in range(400)]
+    rows = []
+    for i in range(90):
+        t = list(base)
+        for place in r.sample(range(400), 6):
+            t[place] = f"own{i}x{place}"
+        rows.append((i, " ".join(t)))
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.components(frame(rows), 5, 80).collect()}
+    assert got == by_hand(rows, 5, 80)
+    assert asked[1] < len(rows)  # after the comparison with pivots: links between components, no pairs to be decided
+
+
+def test_sets_of_many_large_groups_meet_once():
+    """Three groups of the same members: their one possible pair comes out of one of them."""
+    r = random.Random(4)
+    sets = [np.unique(np.array(r.sample(range(1 << 30), 100), np.uint64)) for _ in range(12)]
+    sets[9] = np.unique(np.append(sets[7][1:], np.uint64(5)))
+    members = [{"g": g, "_i": 0, "_j": 0, "_own": 0, "sid": i, "n": len(s), "bits": jaccard._bits(s), "first": [-5, 3, 8]} for g in (-5, 3, 8) for i, s in enumerate(sets)]
+    met = []
+    for g in (-5, 3, 8):
+        pdf = pd.DataFrame([m for m in members if m["g"] == g])
+        met += [(g, x, y.tolist()) for x, y in jaccard._meetings(pdf, 90, pdf["sid"].to_numpy())]
+    assert met == [(-5, 7, [9])]
+
+
 def test_copies_and_repeated_rows(frame):
     rows = [(5, "a b c d"), (5, "a b c d"), (3, "A b  c d"), (None, "a b c d"), (8, None), (8, None), (None, "")]
     got = sorted((r.doc_id or 0, r.component_id or 0, r.n_shingles) for r in jaccard.components(frame(rows)).collect())
