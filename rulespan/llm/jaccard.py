@@ -49,6 +49,8 @@ BLOCK = 1024
 ELEMENTS = 4 << 20
 #: So many of its large groups, the first by signature, each set brings along.
 FIRST = 16
+#: Words whose hashes a worker remembers; it lives on through later stages and so does this.
+KNOWN_WORDS = 50_000
 #: Bits of the vectors that bound differences from below.
 BITS = 512
 #: What one pair that collides by chance costs, in emitted rows (cost model only).
@@ -61,7 +63,7 @@ class _Words(dict):
     """Hashes of words, remembered up to a bounded number."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > KNOWN_WORDS:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
