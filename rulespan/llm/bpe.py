@@ -17,6 +17,8 @@ import hashlib
 import heapq
 import json
 import unicodedata
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -69,6 +71,9 @@ class Codec:
         self._plain(text[at:], out)
         return out
 
+    def forget(self) -> None:
+        self._cache.clear()
+
     def decode(self, ids) -> str:
         return " ".join(map(self.tokens.__getitem__, ids))
 
@@ -143,6 +148,16 @@ def codec(source: str) -> Codec:
     return Codec(source)
 
 
+@contextmanager
+def borrowed(source: str) -> Iterator[Codec]:
+    """The codec for one task. Its worker lives on through later stages, so the words it has met do not stay with it."""
+    c = codec(source)
+    try:
+        yield c
+    finally:
+        c.forget()
+
+
 def _source(spark, path: str):
     """The tokenizer's file, read once by the driver; its size is fixed by the vocabulary."""
     with open(path, encoding="utf-8") as f:
@@ -165,11 +180,11 @@ def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), deco
     names = [*[f.name for f in fields], "ids", *(["decoded"] if decoded else [])]
 
     def run(batches):
-        c = codec(source.value)
-        for b in slices(batches, "_text", 1 << 20):
-            ids = [c.encode(t) for t in b.column("_text").to_pylist()]
-            texts = [pa.array([c.decode(i) for i in ids], pa.string())] if decoded else []
-            yield pa.RecordBatch.from_arrays([*[b.column(f.name) for f in fields], pa.array(ids, pa.list_(pa.int32())), *texts], names)
+        with borrowed(source.value) as c:
+            for b in slices(batches, "_text", 1 << 20):
+                ids = [c.encode(t) for t in b.column("_text").to_pylist()]
+                texts = [pa.array([c.decode(i) for i in ids], pa.string())] if decoded else []
+                yield pa.RecordBatch.from_arrays([*[b.column(f.name) for f in fields], pa.array(ids, pa.list_(pa.int32())), *texts], names)
 
     rows = docs.select(*[F.col(f.name) for f in fields], F.col("text").alias("_text"))
     return rows.mapInArrow(run, f"{schema}ids array<int>{', decoded string' if decoded else ''}")
@@ -181,14 +196,14 @@ def decode(rows: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> D
     fields, schema = _fields(rows, keep)
 
     def run(batches):
-        c = codec(source.value)
-        for whole in batches:
-            ends = np.cumsum(pc.fill_null(pc.list_value_length(whole.column("_ids")), 0).to_numpy(zero_copy_only=False)) // IDS_A_BATCH
-            cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), whole.num_rows]
-            for a, z in zip(cuts, cuts[1:]):
-                b = whole.slice(a, z - a)
-                texts = [c.decode(ids or ()) for ids in b.column("_ids").to_pylist()]
-                yield pa.RecordBatch.from_arrays([*[b.column(f.name) for f in fields], pa.array(texts, pa.string())], [*[f.name for f in fields], "decoded"])
+        with borrowed(source.value) as c:
+            for whole in batches:
+                ends = np.cumsum(pc.fill_null(pc.list_value_length(whole.column("_ids")), 0).to_numpy(zero_copy_only=False)) // IDS_A_BATCH
+                cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), whole.num_rows]
+                for a, z in zip(cuts, cuts[1:]):
+                    b = whole.slice(a, z - a)
+                    texts = [c.decode(ids or ()) for ids in b.column("_ids").to_pylist()]
+                    yield pa.RecordBatch.from_arrays([*[b.column(f.name) for f in fields], pa.array(texts, pa.string())], [*[f.name for f in fields], "decoded"])
 
     return rows.select(*[F.col(f.name) for f in fields], F.col("ids").alias("_ids")).mapInArrow(run, f"{schema}decoded string")
 
@@ -199,18 +214,18 @@ def digests(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) ->
     fields, schema = _fields(docs, keep)
 
     def run(batches):
-        c = codec(source.value)
-        for b in slices(batches, "_text", 1 << 20):
-            n, of_ids, of_text = [], [], []
-            for text in b.column("_text").to_pylist():
-                ids = c.encode(text)
-                n.append(len(ids))
-                of_ids.append(hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
-                of_text.append(hashlib.sha256(c.decode(ids).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [*[b.column(f.name) for f in fields], pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())],
-                [*[f.name for f in fields], "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+        with borrowed(source.value) as c:
+            for b in slices(batches, "_text", 1 << 20):
+                n, of_ids, of_text = [], [], []
+                for text in b.column("_text").to_pylist():
+                    ids = c.encode(text)
+                    n.append(len(ids))
+                    of_ids.append(hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+                    of_text.append(hashlib.sha256(c.decode(ids).encode()).hexdigest())
+                yield pa.RecordBatch.from_arrays(
+                    [*[b.column(f.name) for f in fields], pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())],
+                    [*[f.name for f in fields], "n_tokens", "ids_sha256", "decoded_sha256"],
+                )
 
     rows = docs.select(*[F.col(f.name) for f in fields], F.col("text").alias("_text"))
     return rows.mapInArrow(run, f"{schema}n_tokens bigint, ids_sha256 string, decoded_sha256 string")
